@@ -5,7 +5,8 @@
    (document vector) x (term weights) per partition and sums the partial matrices by blocks of terms, so the driver only
    ever holds a matrix of ``TERMS`` x ``RANK``.
 3. Seed centroids are the means of the labelled documents of each subject and of its description; they are refined by
-   assigning every sentence to the nearest centroid (cosine) over all documents.
+   assigning every sentence to the nearest centroid (cosine) over all documents.  Languages other than the main one start
+   from the terms of labelled documents alone: their share of the space is too coarse.
 4. Refinement goes on in the weighted term space, where a term weighs by how much more often it stands in sentences of one
    subject than by chance; terms of moods, people and times then weigh nothing, and sentences without weight are about no
    area.
@@ -28,12 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.ids import slug
+from quillspark.llm.language import LANGUAGES, language
 from quillspark.llm.words import Codes, coded, mixed, words
 from quillspark.sources.staging import stage
 
 TERMS, RANK, PASSES, ROUNDS, SHARE = 40_000, 64, 3, 4, 0.25
 #: A sentence is about an area if its evidence for it (sum of log ratios) reaches this.
-EVIDENCE, PRIOR, PART = 2.0, 4.0, 2000
+EVIDENCE, PRIOR, PART = 2.5, 4.0, 2000
+#: Least cosine to the nearest centroid for a first assignment, and the leading singular directions left out.
+NEAR, TOP = 0.15, 6
+#: Languages are told apart so that a word of a small language does not count for a subject; the last is any other.
+TONGUES = {x: i for i, x in enumerate(LANGUAGES)}
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -81,7 +87,8 @@ def _numbered(dictionary: np.ndarray):  # noqa: ANN202
             where = np.insert(doc, np.append(cut, len(at)) if len(at) else cut, np.append(doc[cut - 1], doc[-1:]) if len(at) else [])
             sizes = np.bincount(where, minlength=len(texts)) if len(where) else np.zeros(len(texts), int)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(number.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "terms"])
+            tongue = [TONGUES.get(language(t), len(TONGUES)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(tongue, pa.int32())], ["doc_id", "terms", "tongue"])
 
     return run
 
@@ -181,10 +188,42 @@ def _counts(docs: DataFrame, assign, terms: int, subjects: int) -> np.ndarray:
     return _matrix(docs, fold, terms, subjects + 1)
 
 
-def _ratios(counts: np.ndarray) -> np.ndarray:
-    """Log ratio of each subject given each term to the subject alone, shrunk for rare terms."""
-    by = counts[:, :-1] if counts.shape[1] > 1 else counts
-    share = (by.sum(axis=0) + 1) / (by.sum() + by.shape[1])
+def _label_counts(labelled: DataFrame, number: dict[str, int], terms: int) -> np.ndarray:
+    """terms x (subjects + 1): in how many sentences of documents with each label each term stands."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((terms, len(number) + 1), np.float32)
+        for _, term, sentence, owner, subjects in _chunks(batches, ("subjects",)):
+            for s in number:
+                own = np.array([s in x for x in subjects], bool)
+                if len(term) and own.any():
+                    np.add.at(out, (term[own[owner[sentence]]], number[s]), 1)
+        return out
+
+    return _matrix(labelled, fold, terms, len(number) + 1)
+
+
+def _tongues(docs: DataFrame, terms: int) -> np.ndarray:
+    """The language in whose documents each term stands most."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((terms, len(TONGUES) + 1), np.float32)
+        for _, term, sentence, owner, tongue in _chunks(batches, ("tongue",)):
+            if len(term):
+                np.add.at(out, (term, np.array(tongue)[owner[sentence]]), 1)
+        return out
+
+    return _matrix(docs, fold, terms, len(TONGUES) + 1).argmax(axis=1)
+
+
+def _ratios(counts: np.ndarray, tongue: np.ndarray) -> np.ndarray:
+    """Log ratio of each subject given each term to the subject alone in the term's language, shrunk for rare terms."""
+    by = counts[:, :-1]
+    total = np.zeros((len(TONGUES) + 1, by.shape[1]))
+    np.add.at(total, tongue, by)
+    # A language with few assigned sentences leans on all of them.
+    base = (by.sum(axis=0) + 1) / (by.sum() + by.shape[1])
+    share = ((total + 50 * base) / (total.sum(axis=1, keepdims=True) + 50))[tongue]
     seen = counts.sum(axis=1, keepdims=True)
     # Sentences of no area count against all areas alike, so that common words stay near zero.
     none = counts[:, -1:] * share
@@ -193,7 +232,8 @@ def _ratios(counts: np.ndarray) -> np.ndarray:
 
 def model(spark: SparkSession, docs: DataFrame, dictionary: np.ndarray, idf: np.ndarray, names: list[str], described: dict[str, str], labels: DataFrame) -> np.ndarray:
     """terms x subjects: the refined centroids, as log ratios."""
-    vectors = singular_vectors(docs, idf).astype(np.float32)
+    # The first directions tell languages and layouts apart, not subjects.
+    vectors = singular_vectors(docs, idf)[:, TOP:].astype(np.float32)
     number = {s: i for i, s in enumerate(names)}
     k = vectors.shape[1]
     labelled = docs.join(labels.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")), "doc_id")
@@ -220,17 +260,24 @@ def model(spark: SparkSession, docs: DataFrame, dictionary: np.ndarray, idf: np.
     middle = unit(total[:-1]).mean(axis=0)
     centroids = unit(unit(total[:-1]) - middle).astype(np.float32)
     flat = (vectors * idf[:, None]).astype(np.float32)
+    # What the labelled documents alone say of a term goes first: the space of a small language in the corpus is coarse.
+    tongue = _tongues(docs, len(idf))
+    said = _areas(_ratios(_label_counts(labelled, number, len(idf)), tongue))
+    main = np.bincount(tongue).argmax()
+    ours = (tongue == main).astype(np.float32)[:, None]
 
     def nearest(term: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
         z = _by_sentence(flat, term, sentence, n)
         score = np.sort(cos := unit(z) @ centroids.T, axis=1)
         best = cos.argmax(axis=1)
-        best[(score[:, -1] < 0.1) | (score[:, -1] - score[:, -2] < 0.05)] = len(names)
-        return best
+        best[(score[:, -1] < NEAR) | (score[:, -1] - score[:, -2] < NEAR / 2)] = len(names)
+        best[2 * _by_sentence(ours, term, sentence, n)[:, 0] <= np.bincount(sentence, minlength=n)] = len(names)
+        own = said(term, sentence, n)
+        return np.where(own < len(names), own, best)
 
-    ratios = _ratios(_counts(docs, nearest, len(idf), len(names)))
+    ratios = _ratios(_counts(docs, nearest, len(idf), len(names)), tongue)
     for _ in range(ROUNDS - 1):
-        ratios = _ratios(_counts(docs, _areas(ratios), len(idf), len(names)))
+        ratios = _ratios(_counts(docs, _areas(ratios), len(idf), len(names)), tongue)
     return ratios
 
 
@@ -259,7 +306,7 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     if not names or top.empty:
         return empty
     dictionary, idf = top["term"].to_numpy(), np.log(n / top["df"].to_numpy())
-    numbered = stage(docs.mapInArrow(_numbered(dictionary), "doc_id long, terms array<int>"), "terms")
+    numbered = stage(docs.mapInArrow(_numbered(dictionary), "doc_id long, terms array<int>, tongue int"), "terms")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), slug(F.col("subject")).alias("s")).join(F.broadcast(areas.select("subject", slug(F.col("subject")).alias("s")).distinct()), "s").select("doc_id", "subject")
     assign = _areas(model(spark, numbered, dictionary, idf, names, described, known))
 
