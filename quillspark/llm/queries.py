@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import charforms, crosssplit, leakage, representative, spans, splits, subjects
+from quillspark.llm import charforms, consensus, crosssplit, leakage, mixing, pairs, representative, spans, splits, subjects
 from quillspark.sources.staging import stage
 from quillspark.sources.tables import table
 
 FOLDS = [0.2] * 5
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.consensus(table(spark, folder, "annotations"))
+
+
+def p1_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.agreement(table(spark, folder, "annotations")).withColumn("majority_cases", F.array_join("majority_cases", ","))
+
+
+def p1_reliability(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.reliability(table(spark, folder, "annotations"))
+
+
 def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
     posts = table(spark, folder, "posts")
     member = representative.groups(posts)
@@ -41,6 +53,10 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return crosssplit.counts(table(spark, folder, "posts"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defects(table(spark, folder, "outputs", "draft_id", "case_id", "text", "stop_reason"), table(spark, folder, "prompts"))
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     return spans.post_and_draft_records(table(spark, folder, "posts", "row_id", "post_raw"), table(spark, folder, "outputs", "draft_id", "text"))
 
@@ -71,6 +87,14 @@ def p8_clean_counts(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count("*").alias("n_docs"))
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.subjects(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
 
