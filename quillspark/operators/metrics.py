@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from quillspark.config import CLASSES, FACTORS, WEIGHTS
@@ -87,7 +88,7 @@ def phrase_score(preds: list[str] | None, golds: list[str] | None) -> float:
     return 2.0 * m / (len(p) + len(g))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def phrase_f1_udf(preds: pd.Series, golds: pd.Series) -> pd.Series:
     return pd.Series([phrase_score(p, g) for p, g in zip(preds, golds, strict=True)], dtype="float64")
 

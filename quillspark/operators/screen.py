@@ -10,6 +10,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillspark.config import COPY_GRAM, COPY_RATIO, OVERLAP_GRAM, TOO_LONG_WORDS
 from quillspark.functions.text import alpha_tokens, grams, near_dup_key, normalized, ws_count, ws_tokens
@@ -43,7 +44,7 @@ def sequence_ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sequence_ratio(x, y) if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
