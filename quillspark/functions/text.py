@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.config import CLASSES, CURLY, ELLIPSIS, WS
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: the optimizer would repeat it wherever it stands, even per element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def ws_trim(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -39,14 +46,12 @@ def near_dup_key(c: Column) -> Column:
 
 def ws_tokens(c: Column) -> Column:
     """Tokens between white space; an empty list for blank text."""
-    t = ws_trim(ws_collapse(c))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return let(ws_trim(ws_collapse(c)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def ws_count(c: Column) -> Column:
     """Number of tokens between white space."""
-    t = ws_trim(ws_collapse(c))
-    return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    return let(ws_trim(ws_collapse(c)), lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1))
 
 
 def alpha_tokens(c: Column) -> Column:
@@ -56,7 +61,10 @@ def alpha_tokens(c: Column) -> Column:
 
 def grams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by spaces, distinct; empty where there are fewer."""
-    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))))
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))))
+
+    return let(tokens, runs)
 
 
 def risk_norm(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import normalized, stable_rank, ws_count, ws_tokens
+from quillspark.functions.text import let, normalized, stable_rank, ws_count, ws_tokens
 from quillspark.operators.metrics import rank_auc
 
 
@@ -42,7 +42,10 @@ def matched_reals(synthetic: DataFrame, real: DataFrame, cell: str, key: str, se
 
 def char_word_grams(c: Column) -> Column:
     """Words and word pairs, and runs of 2 to 5 characters within padded words."""
-    w = ws_tokens(normalized(c))
+    return let(ws_tokens(normalized(c)), _word_grams)
+
+
+def _word_grams(w: Column) -> Column:
     pairs = F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, 2), " ")))
     inner = F.flatten(F.transform(w, lambda x: F.flatten(F.array(*[F.when(F.length(x) + 2 >= n, F.transform(F.sequence(F.lit(1), F.length(x) + 3 - n), lambda i, n=n, x=x: F.concat(F.lit("#"), F.substring(F.concat(F.lit(" "), x, F.lit(" ")), i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in (2, 3, 4, 5)]))))
     return F.concat(w, pairs, inner)
@@ -82,6 +85,6 @@ def style(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
 
 def top_openings(df: DataFrame, text: str, words: int = 3, limit: int = 10) -> DataFrame:
     """(opening, n): the most frequent first words, more than once; ties alphabetically."""
-    t = ws_tokens(normalized(F.col(text)))
-    o = df.where(F.size(t) >= words).select(F.array_join(F.slice(t, 1, words), " ").alias("opening"))
+    t = let(ws_tokens(normalized(F.col(text))), lambda w: F.when(F.size(w) >= words, F.array_join(F.slice(w, 1, words), " ")))
+    o = df.select(t.alias("opening")).where("opening is not null")
     return o.groupBy("opening").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "opening").limit(limit)

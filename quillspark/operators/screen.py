@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillspark.config import COPY_GRAM, COPY_RATIO, OVERLAP_GRAM, TOO_LONG_WORDS
-from quillspark.functions.text import alpha_tokens, grams, near_dup_key, normalized, ws_count, ws_tokens
+from quillspark.functions.text import alpha_tokens, grams, let, near_dup_key, normalized, ws_count, ws_tokens
 
 
 def overlap(df: DataFrame, key: str, text: str, corpus: DataFrame, corpus_text: str, n: int = OVERLAP_GRAM) -> DataFrame:
@@ -34,9 +34,11 @@ def shares_gram(a: Column, b: Column, n: int = COPY_GRAM) -> Column:
 
 def jaccard(a: Column, b: Column, n: int = 4) -> Column:
     """Jaccard of the runs of n alphabetic tokens; 0 where both have none."""
-    x, y = grams(alpha_tokens(a), n), grams(alpha_tokens(b), n)
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
+    def share(x: Column, y: Column) -> Column:
+        same = F.size(F.array_intersect(x, y))
+        return let(F.struct(same.alias("i"), (F.size(x) + F.size(y)).alias("n")), lambda s: F.when(s["n"] > s["i"], s["i"] / (s["n"] - s["i"])).otherwise(0.0))
+
+    return let(F.struct(grams(alpha_tokens(a), n).alias("x"), grams(alpha_tokens(b), n).alias("y")), lambda s: share(s["x"], s["y"]))
 
 
 def sequence_ratio(a: str, b: str) -> float:

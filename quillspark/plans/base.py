@@ -90,9 +90,9 @@ def sql_posts(*columns: str) -> str:
 _RISK = "regexp_replace(risk_norm, '[^A-Za-z]+', '', 'g')"
 SQL_GOLD = f"""gold_r AS (SELECT row_id, upper({_RISK}[1]) || lower({_RISK}[2:]) AS r, array_to_string(gold_eval_spans, chr(31)) AS s, array_to_string(factors_set, chr(31)) AS f, train_weight, fold FROM gold),
 gold_m AS (SELECT row_id, max(CASE WHEN r IN ('Indicator', 'Ideation', 'Behavior', 'Attempt') THEN r END) AS risk, max(s) AS s, max(f) AS f, CAST(max(train_weight) AS DOUBLE) AS weight, CAST(max(fold) AS INTEGER) AS fold FROM gold_r GROUP BY row_id),
-gold_u AS (SELECT row_id, risk, CAST(list_position({sql_list(CLASSES)}, risk) - 1 AS INTEGER) AS risk_ord, list_filter(string_split(coalesce(s, ''), chr(31)), x -> x <> '') AS spans, list_filter({sql_list(FACTORS)}, x -> list_contains(string_split(coalesce(f, ''), chr(31)), x)) AS factors, weight, fold FROM gold_m)"""
+gold_u AS (SELECT row_id, risk, CAST(list_position({sql_list(CLASSES)}, risk) - 1 AS INTEGER) AS risk_ord, list_filter(string_split(coalesce(s, ''), chr(31)), lambda x: x <> '') AS spans, list_filter({sql_list(FACTORS)}, lambda x: list_contains(string_split(coalesce(f, ''), chr(31)), x)) AS factors, weight, fold FROM gold_m)"""
 
 
 def sql_scored(seed: str = "s1", name: str = "scored") -> str:
     n, m = sql_number("row_id", f"'{seed}'"), sql_number("row_id", "x", f"'{seed}'")
-    return f"""{name} AS (SELECT *, CASE WHEN risk IS NULL OR {n} % 10 >= 7 THEN ({sql_list(CLASSES)})[CAST(({n} // 16) % 4 AS INTEGER) + 1] ELSE risk END AS pred, list_filter({sql_list(FACTORS)}, x -> CASE WHEN list_contains(factors, x) THEN {m} % 10 >= 2 ELSE {m} % 40 = 0 END) AS pred_factors FROM gold_u)"""
+    return f"""{name} AS (SELECT *, CASE WHEN risk IS NULL OR {n} % 10 >= 7 THEN ({sql_list(CLASSES)})[CAST(({n} // 16) % 4 AS INTEGER) + 1] ELSE risk END AS pred, list_filter({sql_list(FACTORS)}, lambda x: CASE WHEN list_contains(factors, x) THEN {m} % 10 >= 2 ELSE {m} % 40 = 0 END) AS pred_factors FROM gold_u)"""

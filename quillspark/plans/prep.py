@@ -103,7 +103,7 @@ def top_openings(spark: SparkSession, d: str) -> DataFrame:
     return realism.top_openings(posts(spark, d, "post_raw"), "post_raw")
 
 
-_EVIDENCE = f"list_filter(list_transform(string_split(regexp_replace(j, '(?s)^.*?\\x{{2026}}:\\s*', ''), ';'), x -> {sql_trim('x')}), x -> x <> '')"
+_EVIDENCE = f"list_filter(list_transform(string_split(regexp_replace(j, '(?s)^.*?\\x{{2026}}:\\s*', ''), ';'), lambda x: {sql_trim('x')}), lambda x: x <> '')"
 
 
 @query(f"WITH {SQL_GOLD}, j AS (SELECT row_id, spans, array_to_string(spans, '; ') AS j FROM gold_u), e AS (SELECT row_id, spans, CASE WHEN lower({sql_trim('j')}) = 'none' THEN [] ELSE {_EVIDENCE} END AS p FROM j) SELECT row_id, CAST(len(p) AS INTEGER) AS n_parts, array_to_string(p, '|') AS parts, p IS DISTINCT FROM spans AS differs FROM e")
@@ -181,7 +181,7 @@ def key_differences(spark: SparkSession, d: str) -> DataFrame:
 _LABEL = "regexp_replace(risk, '[^A-Za-z]+', '', 'g')"
 
 
-@query(f"""WITH r AS (SELECT case_id, annotator, CASE WHEN risk IS NULL THEN 'no risk' WHEN upper({_LABEL}[1]) || lower({_LABEL}[2:]) NOT IN ('Indicator', 'Ideation', 'Behavior', 'Attempt', 'Unclear') THEN 'risk' WHEN naturalness NOT BETWEEN 1 AND 5 THEN 'naturalness' WHEN confidence NOT BETWEEN 1 AND 3 THEN 'confidence' WHEN len(list_filter(factors, f -> f IS NULL OR NOT list_contains({sql_list(FACTORS)}, f))) > 0 THEN 'factors' WHEN status NOT IN ('complete', 'in_progress') THEN 'status' END AS reason FROM annotations) SELECT DISTINCT * FROM r WHERE reason IS NOT NULL""")
+@query(f"""WITH r AS (SELECT case_id, annotator, CASE WHEN risk IS NULL THEN 'no risk' WHEN upper({_LABEL}[1]) || lower({_LABEL}[2:]) NOT IN ('Indicator', 'Ideation', 'Behavior', 'Attempt', 'Unclear') THEN 'risk' WHEN naturalness NOT BETWEEN 1 AND 5 THEN 'naturalness' WHEN confidence NOT BETWEEN 1 AND 3 THEN 'confidence' WHEN len(list_filter(factors, lambda f: f IS NULL OR NOT list_contains({sql_list(FACTORS)}, f))) > 0 THEN 'factors' WHEN status NOT IN ('complete', 'in_progress') THEN 'status' END AS reason FROM annotations) SELECT DISTINCT * FROM r WHERE reason IS NOT NULL""")
 def response_errors(spark: SparkSession, d: str) -> DataFrame:
     """V12, IO14 payload checks."""
     return checks.response_errors(table(spark, d, "annotations"), CLASSES, FACTORS)
@@ -239,7 +239,7 @@ def contamination_8gram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_set(x: str, n: int) -> str:
-    return f"list_transform(range(1, len({x}) - {n - 2}), i -> array_to_string({x}[i:i+{n - 1}], ' '))"
+    return f"list_transform(range(1, len({x}) - {n - 2}), lambda i: array_to_string({x}[i:i+{n - 1}], ' '))"
 
 
 _DRAFTS = "drafts AS (SELECT draft_id, max(case_id) AS case_id, max(text) AS text, max(status) AS status, max(draft) AS draft, max(arm) AS arm FROM outputs GROUP BY draft_id)"

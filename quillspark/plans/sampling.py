@@ -132,7 +132,7 @@ def usage_cost_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql_posts('post_raw', 'split')}, {SQL_GOLD}, r AS (SELECT p.row_id, risk, {sql_count('post_raw')} AS w FROM posts_u p JOIN gold_u USING (row_id) WHERE risk IS NOT NULL), e AS (SELECT list_transform(range(1, 10), i -> i / 10.0) AS q), ed AS (SELECT unnest(quantile_cont(w, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edge FROM r)
+    f"""WITH {sql_posts('post_raw', 'split')}, {SQL_GOLD}, r AS (SELECT p.row_id, risk, {sql_count('post_raw')} AS w FROM posts_u p JOIN gold_u USING (row_id) WHERE risk IS NOT NULL), e AS (SELECT list_transform(range(1, 10), lambda i: i / 10.0) AS q), ed AS (SELECT unnest(quantile_cont(w, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edge FROM r)
 SELECT row_id, CAST((SELECT count(*) FROM ed WHERE edge < w) AS INTEGER) AS decile FROM r"""
 )
 def length_deciles(spark: SparkSession, d: str) -> DataFrame:

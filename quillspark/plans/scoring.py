@@ -53,7 +53,7 @@ def _phrases(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).withColumn("pred_spans", some)
 
 
-_PHRASE = f"ph AS (SELECT *, list_filter(spans, s -> (length(s) + {sql_number('row_id', chr(39) + 'ph' + chr(39))}) % 3 > 0) AS pred_spans FROM scored WHERE len(spans) <= 1), pf AS (SELECT *, CASE WHEN len(spans) = 0 THEN 1.0::DOUBLE WHEN len(pred_spans) = 0 THEN 0.0 ELSE 1.0 END AS phrase FROM ph)"
+_PHRASE = f"ph AS (SELECT *, list_filter(spans, lambda s: (length(s) + {sql_number('row_id', chr(39) + 'ph' + chr(39))}) % 3 > 0) AS pred_spans FROM scored WHERE len(spans) <= 1), pf AS (SELECT *, CASE WHEN len(spans) = 0 THEN 1.0::DOUBLE WHEN len(pred_spans) = 0 THEN 0.0 ELSE 1.0 END AS phrase FROM ph)"
 
 
 @query(f"{_SCORED}, {_PHRASE} SELECT count(*) AS n, round(avg(phrase), 8) AS ee1, round(avg(phrase) FILTER (len(spans) > 0), 8) AS skip FROM pf")
@@ -92,7 +92,7 @@ def risk_shift(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n", *[F.round(c, 8).alias(c) for c in ("agreement", "read_higher", "read_lower")])
 
 
-@query(f"""{_SCORED}, x AS (SELECT fold, len(list_intersect(factors, pred_factors)) AS tp, len(list_filter(pred_factors, f -> NOT list_contains(factors, f))) AS fp, len(list_filter(factors, f -> NOT list_contains(pred_factors, f))) AS fn FROM scored), s AS (SELECT fold, count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, avg((fp + fn = 0)::INT) AS exact FROM x GROUP BY fold)
+@query(f"""{_SCORED}, x AS (SELECT fold, len(list_intersect(factors, pred_factors)) AS tp, len(list_filter(pred_factors, lambda f: NOT list_contains(factors, f))) AS fp, len(list_filter(factors, lambda f: NOT list_contains(pred_factors, f))) AS fn FROM scored), s AS (SELECT fold, count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, avg((fp + fn = 0)::INT) AS exact FROM x GROUP BY fold)
 SELECT fold, n, tp, fp, fn, round(exact, 8) AS exact, round(tp::DOUBLE / nullif(tp + fp, 0), 8) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 8) AS recall, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 8) AS f1 FROM s""")
 def set_micro_prf(spark: SparkSession, d: str) -> DataFrame:
     """M12, M14."""
