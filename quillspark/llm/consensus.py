@@ -92,18 +92,17 @@ def reliability(annotations: DataFrame) -> DataFrame:
     """
     k = range(len(CLASSES))
     _, n = fit(answers(annotations))
-    total = n.agg(*[F.sum(f"s{c}").alias(f"t{c}") for c in k])
+    total = n.agg(*[F.sum(f"s{c}") for c in k]).first()
     sums = n.groupBy("annotator").agg(F.sum(sum((F.col(f"n{c}") for c in k), F.lit(0.0))).alias("n"), *[F.sum(f"n{c}").alias(f"all{c}") for c in k], *[F.sum(F.when(F.col("label") == c, F.col(f"n{c}")).otherwise(0.0)).alias(f"own{c}") for c in k])
-    r = sums.crossJoin(F.broadcast(total))  # one row of class shares
-    whole = sum((F.col(f"t{c}") for c in k), F.lit(0.0))
+    whole = sum(x or 0.0 for x in total) or 1.0
     mean = variance = F.lit(0.0)
     for c in k:
         a, b = F.col(f"own{c}") + ANSWER_PRIOR[0], F.col(f"all{c}") + sum(ANSWER_PRIOR[abs(c - x)] for x in k)
-        share = F.col(f"t{c}") / whole
+        share = (total[c] or 0.0) / whole
         mean = mean + share * a / b
         variance = variance + share * share * a * (b - a) / (b * b * (b + 1))
     spread = 1.96 * F.sqrt(variance)
-    return r.select("annotator", F.round("n").cast("long").alias("n_answers"), F.round(mean, 6).alias("reliability"), F.round(F.greatest(F.lit(0.0), mean - spread), 6).alias("low"), F.round(F.least(F.lit(1.0), mean + spread), 6).alias("high"))
+    return sums.select("annotator", F.round("n").cast("long").alias("n_answers"), F.round(mean, 6).alias("reliability"), F.round(F.greatest(F.lit(0.0), mean - spread), 6).alias("low"), F.round(F.least(F.lit(1.0), mean + spread), 6).alias("high"))
 
 
 def agreement(annotations: DataFrame) -> DataFrame:

@@ -56,7 +56,9 @@ class Suffixes:
         within = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)
         at = low[q] + within
         drop = _BITS * np.uint64(6 - SEED)
-        same = (self.second[at] >> drop == second[q] >> drop) & ((second[q] >> drop) & ((np.uint64(1) << _BITS) - np.uint64(1)) > 0)
+        same = self.second[at] >> drop == second[q] >> drop
+        for k in range(3, SEED):
+            same &= padded[q + k] > 0
         return q[same], self.order[at[same]]
 
 

@@ -89,7 +89,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     emitted = docs.join(F.broadcast(rated), "source").withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("int")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
     mixed = emitted.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
-    every = mixed.agg(F.sum("mixed_tokens").alias("every"))
-    report = per.join(goal.drop("cap"), "source", "full").join(rated, "source", "left").join(mixed, "source", "left").crossJoin(F.broadcast(every))
+    every = mixed.agg(F.sum("mixed_tokens")).first()[0]
+    report = per.join(goal.drop("cap"), "source", "full").join(rated, "source", "left").join(mixed, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return emitted, report.select("source", zero("n_docs").alias("n_docs"), zero("tokens").alias("tokens"), "target_share", F.round(F.coalesce("rate", F.lit(0.0)), 6).alias("rate"), zero("mixed_tokens").alias("mixed_tokens"), F.round(zero("mixed_tokens") / F.col("every"), 6).alias("actual_share"))
+    return emitted, report.select("source", zero("n_docs").alias("n_docs"), zero("tokens").alias("tokens"), "target_share", F.round(F.coalesce("rate", F.lit(0.0)), 6).alias("rate"), zero("mixed_tokens").alias("mixed_tokens"), F.round(F.try_divide(zero("mixed_tokens"), F.lit(every)), 6).alias("actual_share"))

@@ -326,8 +326,8 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
 
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:
     """(subject, n_docs, share of all documents)."""
-    total = documents.select(F.count_distinct("doc_id").alias("total"))
-    return found.groupBy("subject").agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(total)).select("subject", "n_docs", F.round(F.col("n_docs") / F.col("total"), 6).alias("share"))
+    total = documents.select("doc_id").distinct().count()
+    return found.groupBy("subject").agg(F.count("*").alias("n_docs")).withColumn("share", F.round(F.try_divide(F.col("n_docs"), F.lit(total)), 6))
 
 
 def describe(text: str) -> list[str]:
