@@ -39,7 +39,7 @@ def fleiss_kappa(r: DataFrame, by: str | None = None) -> DataFrame:
     p = item.groupBy(*keys).agg(F.count("*").alias("n_items"), F.avg(F.col("s") / (F.col("m") * (F.col("m") - 1))).alias("p"), F.sum("m").alias("total"))
     share = cell.join(item, [*keys, "case_id"], "left_semi").groupBy(*keys, "label").agg(F.sum("c").alias("n"))
     chance = share.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias("sq"))
-    j = p.join(chance, keys) if keys else p.crossJoin(F.broadcast(chance))
+    j = p.join(chance, keys) if keys else p.withColumn("sq", F.lit(chance.first()[0]))
     e = F.col("sq") / (F.col("total") * F.col("total"))
     return j.select(*keys, "n_items", F.round(F.when(e < 1, (F.col("p") - e) / (1 - e)), 8).alias("kappa"))
 
@@ -69,7 +69,7 @@ def pair_match_table(r: DataFrame) -> DataFrame:
     two = d.groupBy("case_id").agg(F.max(F.when(F.col("i") == 1, F.col("label"))).alias("x"), F.max(F.when(F.col("i") == 2, F.col("label"))).alias("y"))
     labels = r.select("label").distinct()
     hit = two.select(F.col("x").alias("label"), (F.col("x") == F.col("y")).cast("int").alias("both"), (F.col("x") != F.col("y")).cast("int").alias("a_only"), F.lit(0).alias("b_only")).union(two.where("x <> y").select("y", F.lit(0), F.lit(0), F.lit(1)))
-    n = two.agg(F.count("*").alias("total"))
+    n = two.count()
     s = hit.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("both", "a_only", "b_only")])
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return labels.join(s, "label", "left").crossJoin(F.broadcast(n)).select("label", z("both").alias("both"), z("a_only").alias("a_only"), z("b_only").alias("b_only"), (F.col("total") - z("both") - z("a_only") - z("b_only")).alias("neither"))
+    return labels.join(s, "label", "left").select("label", z("both").alias("both"), z("a_only").alias("a_only"), z("b_only").alias("b_only"), (F.lit(n) - z("both") - z("a_only") - z("b_only")).alias("neither"))

@@ -115,10 +115,10 @@ def composite(risk: Column, phrase: Column, macro: Column, weights: tuple[float,
 
 def report(df: DataFrame, gold: str, pred: str, gold_factors: str, pred_factors: str, phrase: str, has_gold: str) -> DataFrame:
     """One row: n, risk_wf1, factors_macro_f1, phrase_f1_ee1, phrase_f1_skip and the composites (empty-empty counts 1)."""
-    risk = weighted_f1(class_scores(df, gold, pred))
-    macro = macro_f1(factor_scores(df, gold_factors, pred_factors))
+    risk = F.lit(weighted_f1(class_scores(df, gold, pred)).first()[0])
+    macro = F.lit(macro_f1(factor_scores(df, gold_factors, pred_factors)).first()[0])
     ph = df.agg(F.count("*").alias("n"), F.avg(phrase).alias("phrase_f1_ee1"), F.avg(F.when(F.col(has_gold), F.col(phrase))).alias("phrase_f1_skip"))
-    one = ph.crossJoin(F.broadcast(risk)).crossJoin(F.broadcast(macro))  # three tables of one row
+    one = ph.withColumn("risk_wf1", risk).withColumn("factors_macro_f1", macro)
     return one.select("*", *composite(F.col("risk_wf1"), F.col("phrase_f1_ee1"), F.col("factors_macro_f1")))
 
 
@@ -146,9 +146,9 @@ def set_micro(df: DataFrame, gold: str, pred: str, by: list[str] | None = None)
 def rank_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """(by, n_pos, n_neg, auc): rank form with mid ranks of ties, from counts per distinct score; null with one class."""
     keys = by or []
-    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.count(F.when(F.col(label), 1)).alias("p"), F.count(F.when(~F.col(label), 1)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = per.withColumn("below", below).groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"))
+    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.count(F.when(F.col(label), 1)).alias("_pos"), F.count(F.when(~F.col(label), 1)).alias("_neg"))
+    below = F.coalesce(F.sum("_neg").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = per.withColumn("_below", below).groupBy(*keys).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"), F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).alias("u"))
     return s.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("u"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 

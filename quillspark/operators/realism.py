@@ -47,7 +47,13 @@ def char_word_grams(c: Column) -> Column:
 
 def _word_grams(w: Column) -> Column:
     pairs = F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, 2), " ")))
-    inner = F.flatten(F.transform(w, lambda x: F.flatten(F.array(*[F.when(F.length(x) + 2 >= n, F.transform(F.sequence(F.lit(1), F.length(x) + 3 - n), lambda i, n=n, x=x: F.concat(F.lit("#"), F.substring(F.concat(F.lit(" "), x, F.lit(" ")), i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in (2, 3, 4, 5)]))))
+
+    def runs(x: Column, n: int) -> Column:
+        padded = F.concat(F.lit(" "), x, F.lit(" "))
+        some = F.transform(F.sequence(F.lit(1), F.length(x) + 3 - n), lambda i: F.concat(F.lit("#"), F.substring(padded, i, F.lit(n))))
+        return F.when(F.length(x) + 2 >= n, some).otherwise(F.array().cast("array<string>"))
+
+    inner = F.flatten(F.transform(w, lambda x: F.concat(*[runs(x, n) for n in (2, 3, 4, 5)])))
     return F.concat(w, pairs, inner)
 
 

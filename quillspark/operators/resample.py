@@ -28,8 +28,7 @@ def balanced_pick(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> D
 
 def largest_remainder(counts: DataFrame, group: str, count: str, n: int) -> DataFrame:
     """(group, count, quota): n seats in proportion to the counts; whole parts, then the largest remainders, ties by group."""
-    total = counts.agg(F.sum(count).alias("_t"))
-    d = counts.crossJoin(F.broadcast(total))  # one row
+    d = counts.withColumn("_t", F.sum(count).over(Window.partitionBy(F.lit(0))))
     whole = F.floor(F.lit(n) * F.col(count) / F.col("_t"))
     d = d.withColumn("_w", whole).withColumn("_rest", F.lit(n) * F.col(count) - F.col("_w") * F.col("_t"))
     left = F.lit(n) - F.sum("_w").over(Window.partitionBy(F.lit(0)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillspark.config import COPY_GRAM, COPY_RATIO, OVERLAP_GRAM, TOO_LONG_WORDS
-from quillspark.functions.text import alpha_tokens, grams, let, near_dup_key, normalized, ws_count, ws_tokens
+from quillspark.functions.text import alpha_tokens, grams, let, near_dup_key, normalized, ws_count, ws_tokens, ws_trim
 
 
 def overlap(df: DataFrame, key: str, text: str, corpus: DataFrame, corpus_text: str, n: int = OVERLAP_GRAM) -> DataFrame:
@@ -62,7 +62,7 @@ def cheap_reason(text: Column, status: Column, refusal: str, overlapping: Column
     t = F.coalesce(text, F.lit(""))
     return (
         F.when(~F.coalesce(status == "ok", F.lit(False)), F.concat(F.lit("status:"), F.coalesce(status, F.lit("none"))))
-        .when(F.trim(t) == "", "empty")
+        .when(ws_trim(t) == "", "empty")
         .when(t.rlike(refusal), "soft_refusal")
         .when(ws_count(t) > TOO_LONG_WORDS, "too_long")
         .when(F.coalesce(overlapping, F.lit(False)), "real_overlap")

@@ -17,16 +17,19 @@ def best_cutoffs(df: DataFrame, by: list[str], score: str, label: str) -> DataFr
 
     Distinct scores are counted first, so the sweep is one sort per group over counts: no row meets every candidate.
     """
-    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count(F.when(F.col(label), 1)).alias("p"), F.count("*").alias("n"))
-    up = Window.partitionBy(*by).orderBy("s")
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.when(F.col(label), 1)).alias("_p"), F.count("*").alias("_n"))
+    up = Window.partitionBy(*by).orderBy("_s")
+    down = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    d = per.withColumn("tp", F.sum("p").over(down)).withColumn("k", F.sum("n").over(down)).withColumn("total", F.sum("p").over(whole)).withColumn("low", F.lag("s").over(up)).withColumn("high", F.lead("s").over(up))
-    at = F.when(F.col("low").isNull(), F.lit(0.0)).otherwise((F.col("low") + F.col("s")) / 2)
-    cand = d.select(*by, "total", F.explode(F.array(F.struct(at.alias("tau"), "tp", "k"), F.struct(F.when(F.col("high").isNull(), F.lit(1.0)).alias("tau"), F.when(F.col("s") >= 1.0, F.col("p")).otherwise(0).alias("tp"), F.when(F.col("s") >= 1.0, F.col("n")).otherwise(0).alias("k")))).alias("c")).where("c.tau is not null")
-    score_of = F.round(f1(F.col("c.tp"), F.col("c.k") - F.col("c.tp"), F.col("total") - F.col("c.tp")), 12)
-    best = cand.groupBy(*by).agg(F.max(F.struct(score_of.alias("f1"), F.col("c.tau").alias("tau"))).alias("b"), F.max("total").alias("total"))
-    return best.select(*by, F.when(F.col("total") == 0, 0.5).otherwise(F.col("b.tau")).alias("tau"), F.when(F.col("total") == 0, 0.0).otherwise(F.col("b.f1")).alias("f1"))
+    d = per.withColumns({"_tp": F.sum("_p").over(down), "_k": F.sum("_n").over(down), "_total": F.sum("_p").over(whole), "_low": F.lag("_s").over(up), "_high": F.lead("_s").over(up)})
+    at = F.when(F.col("_low").isNull(), F.lit(0.0)).otherwise((F.col("_low") + F.col("_s")) / 2)
+    one = F.col("_s") >= 1.0
+    ends = F.struct(F.when(F.col("_high").isNull(), F.lit(1.0)).alias("tau"), F.when(one, F.col("_p")).otherwise(0).alias("tp"), F.when(one, F.col("_n")).otherwise(0).alias("k"))
+    cand = d.select(*by, "_total", F.explode(F.array(F.struct(at.alias("tau"), F.col("_tp").alias("tp"), F.col("_k").alias("k")), ends)).alias("_c")).where("_c.tau is not null")
+    score_of = F.round(f1(F.col("_c.tp"), F.col("_c.k") - F.col("_c.tp"), F.col("_total") - F.col("_c.tp")), 12)
+    best = cand.groupBy(*by).agg(F.max(F.struct(score_of.alias("f1"), F.col("_c.tau").alias("tau"))).alias("_b"), F.max("_total").alias("_total"))
+    none = F.col("_total") == 0
+    return best.select(*by, F.when(none, 0.5).otherwise(F.col("_b.tau")).alias("tau"), F.when(none, 0.0).otherwise(F.col("_b.f1")).alias("f1"))
 
 
 def nested_cutoffs(df: DataFrame, fold: str, by: list[str], score: str, label: str) -> DataFrame:
@@ -89,15 +92,16 @@ def class_probabilities(logprobs: F.Column, classes: list[str]) -> F.Column:
     A token counts for the class that it is the only prefix of, without regard to case and blanks; what no class gets is
     left out; all zero where none matches.
     """
-    mass = []
-    for c in classes:
-        def own(x: F.Column, c: str = c) -> F.Column:
+    def of(c: str) -> F.Column:
+        def own(x: F.Column) -> F.Column:
             t = F.lower(F.trim(x["tok"]))
             fits = [F.startswith(F.lit(k.lower()), t) for k in classes]
             unique = sum((f.cast("int") for f in fits), F.lit(0)) == 1
             return (t != "") & fits[classes.index(c)] & unique
 
-        mass.append(F.aggregate(F.filter(logprobs, own), F.lit(0.0), lambda s, x: s + F.exp(x["lp"])))
+        return F.aggregate(F.filter(logprobs, own), F.lit(0.0), lambda s, x: s + F.exp(x["lp"]))
+
+    mass = [of(c) for c in classes]
     total = sum(mass[1:], mass[0])
     return F.array(*[F.when(total > 0, m / total).otherwise(0.0) for m in mass])
 

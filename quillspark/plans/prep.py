@@ -282,7 +282,7 @@ def screening_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_DRAFTS} SELECT draft_id, CASE WHEN status IS DISTINCT FROM 'ok' THEN 'status:' || coalesce(status, 'none') WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN regexp_matches(text, '{REFUSAL.replace("'", "''")}') THEN 'soft_refusal' WHEN {sql_count('text')} > 700 THEN 'too_long' ELSE 'passed' END AS reason FROM drafts"""
+    f"""WITH {_DRAFTS} SELECT draft_id, CASE WHEN status IS DISTINCT FROM 'ok' THEN 'status:' || coalesce(status, 'none') WHEN {sql_trim("coalesce(text, '')")} = '' THEN 'empty' WHEN regexp_matches(text, '{REFUSAL.replace("'", "''")}') THEN 'soft_refusal' WHEN {sql_count('text')} > 700 THEN 'too_long' ELSE 'passed' END AS reason FROM drafts"""
 )
 def screening_flags(spark: SparkSession, d: str) -> DataFrame:
     """The cheap reasons."""
