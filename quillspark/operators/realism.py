@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions.text import let, normalized, stable_rank, ws_count, ws_tokens
 from quillspark.operators.metrics import rank_auc
+from quillspark.sources.staging import stage
 
 
 def decile_edges(df: DataFrame, value: str) -> list[float]:
@@ -69,13 +70,13 @@ def grouped_auc(df: DataFrame, group: str, label: str, folds: int = 5, seed: str
     """(fold, n_pos, n_neg, auc): logistic regression fitted without the fold's groups.  ``df`` has features; one-class
     training sets raise."""
     fold = F.pmod(F.conv(F.substring(stable_rank(F.lit(seed), F.col(group).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
-    d = df.withColumn("fold", fold).withColumn("label", F.col(label).cast("double"))
+    d = stage(df.select("features", fold.alias("fold"), F.col(label).cast("double").alias("label")), "features")
     out = None
     for k in range(folds):
         train = d.where(F.col("fold") != k)
         if train.select("label").distinct().count() < 2:
             raise ValueError(f"fold {k} trains on one class")
-        model = LogisticRegression(maxIter=50, regParam=1e-3).fit(train)
+        model = LogisticRegression(maxIter=10, regParam=1e-3).fit(train)
         s = model.transform(d.where(F.col("fold") == k)).select("fold", vector_to_array("probability")[1].alias("p"), (F.col("label") == 1).alias("y"))
         part = rank_auc(s, "p", "y", ["fold"])
         out = part if out is None else out.unionByName(part)
