@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.ids import slug
 from quillspark.llm.language import LANGUAGES, language
-from quillspark.llm.words import Codes, coded, mixed, words
+from quillspark.llm.words import Codes, coded, mixed, slices, words
 from quillspark.sources.staging import stage
 
 TERMS, RANK, PASSES, ROUNDS, SHARE = 40_000, 64, 3, 4, 0.25
@@ -64,7 +64,7 @@ def _raw_terms(texts: list[str | None], codes: Codes) -> tuple[np.ndarray, np.nd
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = Codes()
-    for b in batches:
+    for b in slices(batches, "text"):
         terms, doc, _ = _raw_terms(b.column("text").to_pylist(), codes)
         once = np.unique(np.stack([doc, terms], axis=1), axis=0)[:, 1] if len(terms) else terms
         term, n = np.unique(once, return_counts=True)
@@ -76,7 +76,7 @@ def _numbered(dictionary: np.ndarray):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
-        for b in batches:
+        for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
             terms, doc, sentence = _raw_terms(texts, codes)
             at = np.clip(np.searchsorted(dictionary, terms), 0, max(0, len(dictionary) - 1))

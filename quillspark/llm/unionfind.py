@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.staging import stage
 
-BOUND, FAN = 4_000_000, 8
+BOUND, FAN = 1_000_000, 8
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:

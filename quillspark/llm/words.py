@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from quillspark.llm.charforms import PLAIN, one_form
@@ -57,6 +60,19 @@ def coded(texts: list[str | None], codes: Codes) -> tuple[np.ndarray, np.ndarray
     return np.array(flat, np.uint64), sizes
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``limit`` characters of the column (or one row), so that long texts fit in memory."""
+    for b in batches:
+        sizes = np.array([0 if x is None else x for x in pc.utf8_length(b.column(column)).to_pylist()], np.int64)
+        start = held = 0
+        for i, n in enumerate(sizes.tolist()):
+            if held + n > limit and i > start:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield b.slice(start)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * _MUL
