@@ -270,8 +270,8 @@ def gram4_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
     j = drafts(spark, d).join(table(spark, d, "prompts", "case_id", "user_text"), "case_id", "left")
-    hit = screen.overlap(j, "draft_id", "text", table(spark, d, "posts", "post_raw"), "post_raw", 12).withColumn("hit", F.lit(True))
-    reason = screen.cheap_reason(F.col("text"), F.col("status"), REFUSAL, F.col("hit"), screen.shares_gram(F.col("text"), F.col("user_text"), 12))
+    hit = screen.overlap(j, "draft_id", "text", table(spark, d, "posts", "post_raw"), "post_raw").withColumn("hit", F.lit(True))
+    reason = screen.cheap_reason(F.col("text"), F.col("status"), REFUSAL, F.col("hit"), screen.shares_gram(F.col("text"), F.col("user_text")))
     return j.join(hit, "draft_id", "left").withColumn("reason", reason)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.config import CLASSES, FACTORS
 from quillspark.functions import text as T
 from quillspark.operators import agreement, checks, dedup, metrics, parse, render, resample, screen, spans, thresholds, timeline
+from quillspark.plans import prep
 from quillspark.sources import files
 from quillspark.streaming.screening import screen_stream
 
@@ -207,3 +208,23 @@ def test_streamed_screening(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text('{"draft_id": "1", "case_id": "c", "text": "I cannot write this", "status": "ok"}\n{"draft_id": "2", "case_id": "c", "text": "fine", "status": "ok"}\n')
     screen_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), "cannot write").awaitTermination()
     assert {(r["draft_id"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1", "soft_refusal"), ("2", None)}
+
+
+def _tables(spark, at, **rows):
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(str(at / f"{name}.parquet"))
+    return str(at)
+
+
+def test_screening_runs_of_eight_and_six(spark, tmp_path):
+    w = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    texts = {"post8": f"x y {w('p', 8)} z", "post7": f"x y {w('p', 7)} z", "prompt6": f"x y {w('q', 6)} z", "prompt5": f"x y {w('q', 5)} z"}
+    d = _tables(
+        spark,
+        tmp_path,
+        outputs=([(k, "c", v, "ok", 0, "a") for k, v in texts.items()], "draft_id string, case_id string, text string, status string, draft int, arm string"),
+        prompts=([("c", f"{w('q', 6)} {w('r', 60)}")], "case_id string, user_text string"),
+        posts=([("r", f"{w('p', 8)} {w('s', 60)}")], "row_id string, post_raw string"),
+    )
+    got = {r["draft_id"]: r["reason"] for r in prep.screening_cascade(spark, d).collect()}
+    assert got == {"post8": "real_overlap", "post7": "passed", "prompt6": "reference_copy", "prompt5": "passed"}
