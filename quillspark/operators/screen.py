@@ -6,6 +6,7 @@ Cheap reasons are Catalyst columns; the one quadratic measure runs in Python on
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,13 +85,31 @@ def gram_set(text: str | None) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
 
 
+class Kept:
+    """The gram sets kept so far, met through an index of their grams, so that only sets with a common gram are compared."""
+
+    def __init__(self) -> None:
+        self.sizes: list[int] = []
+        self.holders: dict[tuple[str, ...], list[int]] = {}
+
+    def add(self, grams: set[tuple[str, ...]]) -> None:
+        for g in grams:
+            self.holders.setdefault(g, []).append(len(self.sizes))
+        self.sizes.append(len(grams))
+
+    def likeness(self, grams: set[tuple[str, ...]]) -> float:
+        """The greatest Jaccard with a kept set; 0 where none has a common gram."""
+        shared = Counter(k for g in grams for k in self.holders.get(g, ()))
+        return max((n / (len(grams) + self.sizes[k] - n) for k, n in shared.items()), default=0.0)
+
+
 def pick_drafts(rows: list[tuple[str, int, str | None, bool]]) -> dict[str, int]:
     """Case to chosen draft, cases in order: of the passing drafts the one least like those kept before; ties to the lower
     number; a case whose drafts all fail keeps its first."""
     cases: dict[str, list[tuple[int, str | None, bool]]] = {}
     for case, draft, text, ok in rows:
         cases.setdefault(case, []).append((draft, text, ok))
-    kept: list[set] = []
+    kept = Kept()
     out = {}
     for case in sorted(cases):
         drafts = sorted(cases[case], key=lambda x: x[0])
@@ -98,9 +117,8 @@ def pick_drafts(rows: list[tuple[str, int, str | None, bool]]) -> dict[str, int]
         if not passing:
             out[case] = drafts[0][0]
             continue
-        like = lambda g: max((len(g & k) / len(g | k) if g | k else 0.0 for k in kept), default=0.0)
-        best = min(passing, key=lambda x: (round(like(x[1]), 12), x[0]))
-        kept.append(best[1])
+        best = min(passing, key=lambda x: (round(kept.likeness(x[1]), 12), x[0]))
+        kept.add(best[1])
         out[case] = best[0]
     return out
 
@@ -108,7 +126,7 @@ def pick_drafts(rows: list[tuple[str, int, str | None, bool]]) -> dict[str, int]
 def draft_selection(df: DataFrame, group: str) -> DataFrame:
     """(group, case_id, draft): sequential choice within each group.  ``df``: group, case_id, draft, text, ok.
 
-    The kept drafts of one group must be seen in order, so a group is one task; groups are factor and host fold.
+    The kept drafts of one group must be seen in order, so a group is one task; groups are writer and host fold.
     """
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = pick_drafts(list(pdf[["case_id", "draft", "text", "ok"]].itertuples(index=False, name=None)))

@@ -294,7 +294,7 @@ def screening_flags(spark: SparkSession, d: str) -> DataFrame:
 def draft_selection(spark: SparkSession, d: str) -> DataFrame:
     """Within writer and host fold."""
     no = F.lit(False)
-    x = drafts(spark, d).withColumn("ok", screen.cheap_reason(F.col("text"), F.col("status"), REFUSAL, no, no).isNull()).withColumn("host", F.concat_ws("/", "arm", F.substring("case_id", 1, 2), F.substring("case_id", -2, 2)))
+    x = drafts(spark, d).withColumn("ok", screen.cheap_reason(F.col("text"), F.col("status"), REFUSAL, no, no).isNull()).withColumn("host", F.concat_ws("/", "arm", F.substring("case_id", 1, 2)))
     return screen.draft_selection(x, "host")
 
 

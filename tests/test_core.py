@@ -228,3 +228,21 @@ def test_screening_runs_of_eight_and_six(spark, tmp_path):
     )
     got = {r["draft_id"]: r["reason"] for r in prep.screening_cascade(spark, d).collect()}
     assert got == {"post8": "real_overlap", "post7": "passed", "prompt6": "reference_copy", "prompt5": "passed"}
+
+
+def test_drafts_are_compared_in_the_whole_fold(spark, tmp_path):
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [("K0C00000001", 0, one), ("K0C00000002", 0, one), ("K0C00000002", 1, two), ("K1C00000003", 0, one), ("K1C00000003", 1, two)]
+    d = _tables(spark, tmp_path, outputs=([(f"{c}-d{k}", c, t, "ok", k, "a") for c, k, t in rows], "draft_id string, case_id string, text string, status string, draft int, arm string"))
+    got = {(r["host"], r["case_id"]): r["draft"] for r in prep.draft_selection(spark, d).collect()}
+    assert got == {("a/K0", "K0C00000001"): 0, ("a/K0", "K0C00000002"): 1, ("a/K1", "K1C00000003"): 0}
+
+
+def test_kept_index_against_all_pairs():
+    rng = np.random.default_rng(5)
+    kept, sets = screen.Kept(), []
+    for _ in range(60):
+        g = screen.gram_set(" ".join(rng.choice(list("abc"), rng.integers(0, 12))))
+        assert kept.likeness(g) == max((len(g & k) / len(g | k) if g | k else 0.0 for k in sets), default=0.0)
+        kept.add(g)
+        sets.append(g)
