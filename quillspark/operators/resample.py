@@ -36,10 +36,22 @@ def largest_remainder(counts: DataFrame, group: str, count: str, n: int) -> Data
     return d.select(group, count, (F.col("_w") + (place <= left).cast("long")).alias("quota"))
 
 
+def quota_rows(df: DataFrame, key: str, group: str, factors: list[str], seats: int, seed: str) -> list[dict]:
+    """The rows (key, group, factors) that :func:`quota_pick` over all rows can choose, in stable order.
+
+    A group has at most ``seats`` seats in all, so of its rows, and of those with one factor, only the first ``seats``
+    can be chosen: before a later one is, the seats are used up.
+    """
+    cells = F.explode(F.array_union(F.array(F.lit("")), F.array_intersect(F.coalesce("factors", F.array().cast("array<string>")), F.array(*map(F.lit, factors)))))
+    order = stable_rank(F.lit(seed), F.col(key))
+    top = top_by_rank(df.select(key, group, "factors", cells.alias("_cell")), [group, "_cell"], seats, F.lit(seed), F.col(key))
+    return [r.asDict() for r in top.select(key, group, "factors", order.alias("_order")).dropDuplicates([key]).orderBy("_order").drop("_order").collect()]
+
+
 def quota_pick(rows: list[dict], group: str, factors: list[str], quota: dict[str, int], per_factor: int) -> list[dict]:
     """Rows chosen factor by factor under shared quotas per group, in the given order, then filled up.
 
-    Sequential by nature; meant for an audit sample of a few hundred rows.
+    Sequential by nature; :func:`quota_rows` brings the rows of a large table that matter.
     """
     left = dict(quota)
     chosen: dict[int, dict] = {}

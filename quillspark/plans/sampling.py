@@ -37,11 +37,10 @@ def quota_largest_remainder(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def audit_pick(spark: SparkSession, d: str) -> DataFrame:
-    """The quota pick over a stable sample of 400 rows, a sampling operator."""
+    """The quota pick over all rows in stable order, a sampling operator."""
     g = gold(spark, d).where("risk is not null")
     quota = {r["risk"]: r["quota"] for r in resample.largest_remainder(g.groupBy("risk").agg(F.count("*").alias("n")), "risk", "n", 48).collect()}
-    rows = [r.asDict() for r in g.select("row_id", "risk", "factors").orderBy(stable_rank(F.lit("audit"), F.col("row_id"))).limit(400).collect()]
-    got = resample.quota_pick(rows, "risk", RARE, quota, 4)
+    got = resample.quota_pick(resample.quota_rows(g, "row_id", "risk", RARE, 48, "audit"), "risk", RARE, quota, 4)
     return spark.createDataFrame([(r["row_id"], r["risk"]) for r in got], "row_id string, risk string")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import math
@@ -10,10 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.config import CLASSES, FACTORS
+from quillspark.config import CLASSES, FACTORS, RARE
 from quillspark.functions import text as T
 from quillspark.operators import agreement, checks, dedup, metrics, parse, render, resample, screen, spans, thresholds, timeline
-from quillspark.plans import prep
+from quillspark.plans import prep, sampling
 from quillspark.sources import files
 from quillspark.streaming.screening import screen_stream
 
@@ -246,3 +247,18 @@ def test_kept_index_against_all_pairs():
         assert kept.likeness(g) == max((len(g & k) / len(g | k) if g | k else 0.0 for k in sets), default=0.0)
         kept.add(g)
         sets.append(g)
+
+
+def test_audit_pick_sees_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    factors = [["pet at home"] if i % 211 == 7 else ["housing worry", "low mood"] if i % 300 == 1 else ["low mood"] for i in range(3000)]
+    risks = [CLASSES[min(3, k)] for k in rng.geometric(0.5, 3000) - 1]
+    gold = [(f"r{i}", risks[i], [], factors[i], 1.0, 0) for i in range(3000)]
+    d = _tables(spark, tmp_path, gold=(gold, "row_id string, risk_norm string, gold_eval_spans array<string>, factors_set array<string>, train_weight double, fold int"))
+    got = {r["row_id"] for r in sampling.audit_pick(spark, d).collect()}
+    rank = lambda i: hashlib.sha256(f"audit|r{i}".encode()).hexdigest()
+    rows = [{"row_id": f"r{i}", "risk": risks[i], "factors": factors[i]} for i in sorted(range(3000), key=rank)]
+    counts = spark.createDataFrame([(c, risks.count(c)) for c in CLASSES], "risk string, n long")
+    quota = {r["risk"]: r["quota"] for r in resample.largest_remainder(counts, "risk", "n", 48).collect()}
+    assert got == {r["row_id"] for r in resample.quota_pick(rows, "risk", RARE, quota, 4)} and len(got) == 48
+    assert all(sum(f in factors[int(k[1:])] for k in got) >= 4 for f in ("pet at home", "housing worry"))
