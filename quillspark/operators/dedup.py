@@ -66,10 +66,13 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def author_components(df: DataFrame, key: str, author: str, cluster: str) -> DataFrame:
-    """(key, component): rows of one author or one cluster hang together; named by the least node of the component."""
+    """(key, component): rows of one author or one cluster hang together; named by the least node of the component.
+
+    A cluster of rows without an author is a component of its own.
+    """
     ties = df.select(F.concat(F.lit("u:"), author).alias("a"), F.concat(F.lit("c:"), cluster).alias("b")).distinct()
     named = connected(ties)
-    return df.select(key, F.concat(F.lit("c:"), cluster).alias("node")).join(named, "node").select(key, "component")
+    return df.select(key, F.concat(F.lit("c:"), cluster).alias("node")).join(named, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
 
 
 def dense_ids(df: DataFrame, key: str, group: str) -> DataFrame:

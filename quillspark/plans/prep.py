@@ -11,6 +11,7 @@ from quillspark.operators import checks, dedup, realism, render, screen, spans,
 from quillspark.operators import parse as parsing
 from quillspark.plans.base import SQL_GOLD, SQL_WS, gold, posts, sql_collapse, sql_count, sql_key, sql_list, sql_norm, sql_number, sql_posts, sql_scorer, sql_trim
 from quillspark.plans.catalog import query
+from quillspark.sources.staging import stage
 from quillspark.sources.tables import table
 
 REFUSAL = "(?i)(can't|cannot|won't be able to|unable to|decline|rather not) (write|comply|draft|this|produce)"
@@ -59,10 +60,11 @@ def dense_group_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Authors as groups."""
-    p = posts(spark, d, "anon_user_id", "split").where("split = 'train'").join(gold(spark, d).select("row_id", "risk_ord"), "row_id")
-    folds = dedup.component_folds(p, "anon_user_id", "risk_ord")
-    return p.join(folds, "anon_user_id").groupBy("fold").agg(F.count("*").alias("n_posts"), F.count_distinct("anon_user_id").alias("n_users"), *[F.count(F.when(F.col("risk_ord") == i, 1)).alias(f"n{i}") for i in range(4)])
+    """Components of authors and near-duplicate clusters as groups."""
+    p = posts(spark, d, "post_raw", "anon_user_id", "split").where("split = 'train' and row_id is not null")
+    c = dedup.author_components(dedup.clusters(p, "row_id", "post_raw"), "row_id", "anon_user_id", "cluster")
+    c = stage(c.join(gold(spark, d).select("row_id", "risk_ord"), "row_id", "left"), "components")
+    return c.join(dedup.component_folds(c, "component", "risk_ord"), "component").select("row_id", "component", "fold")
 
 
 @query(f"WITH {sql_posts('fold', 'anon_user_id', 'split')}, {SQL_GOLD} SELECT CAST(p.fold AS INTEGER) AS fold, count(*) AS n_posts, count(DISTINCT anon_user_id) AS n_users, count(*) FILTER (risk_ord = 0) AS n0, count(*) FILTER (risk_ord = 1) AS n1, count(*) FILTER (risk_ord = 2) AS n2, count(*) FILTER (risk_ord = 3) AS n3 FROM posts_u p LEFT JOIN gold_u g ON p.row_id = g.row_id WHERE split = 'train' GROUP BY p.fold")

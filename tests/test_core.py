@@ -262,3 +262,24 @@ def test_audit_pick_sees_all_rows(spark, tmp_path):
     quota = {r["risk"]: r["quota"] for r in resample.largest_remainder(counts, "risk", "n", 48).collect()}
     assert got == {r["row_id"] for r in resample.quota_pick(rows, "risk", RARE, quota, 4)} and len(got) == 48
     assert all(sum(f in factors[int(k[1:])] for k in got) >= 4 for f in ("pet at home", "housing worry"))
+
+
+def test_folds_split_no_component(spark, tmp_path):
+    rows = [(f"r{i:03d}", f"text number {i // 2 if i % 4 == 1 else i}", f"u{i % 40}", "train") for i in range(120)]
+    rows += [("s0", "Copied text.", "v0", "train"), ("s1", "copied  text", "v1", "train"), ("s2", "other", "v1", "train"), ("s3", "alone", None, "train"), ("t", "elsewhere", "v0", "test")]
+    gold = [(r[0], CLASSES[i % 4], [], [], 1.0, 0) for i, r in enumerate(rows[:-2])]
+    d = _tables(
+        spark,
+        tmp_path,
+        posts=(rows, "row_id string, post_raw string, anon_user_id string, split string"),
+        gold=(gold, "row_id string, risk_norm string, gold_eval_spans array<string>, factors_set array<string>, train_weight double, fold int"),
+    )
+    got = {r["row_id"]: (r["component"], r["fold"]) for r in prep.stratified_folds(spark, d).collect()}
+    assert set(got) == {r[0] for r in rows[:-1]}
+    assert len({got[k] for k in ("s0", "s1", "s2")}) == 1
+    for field in (lambda r: r[2] or r[0], lambda r: r[1]):
+        groups = {}
+        for r in rows[:123]:
+            groups.setdefault(field(r), set()).add(got[r[0]])
+        assert all(len(g) == 1 for g in groups.values())
+    assert len({c for c, _ in got.values()}) == len(set(got.values())) and {f for _, f in got.values()} == set(range(5))
