@@ -5,6 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,6 +111,20 @@ def draws(spark: SparkSession, units: list, b: int = BOOTSTRAPS, seed: int = BOO
     return spark.createDataFrame(out, "b int, unit string, mult int")
 
 
+def pinned_bootstrap(stats: DataFrame, unit: str, sums: list[str], b: int = BOOTSTRAPS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """(b, sums): as :func:`bootstrap` over :func:`draws`, for many units.
+
+    One generator draws all, so it is one task, which holds the units but never the pairs of units and draws.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(unit)
+        rng, x = np.random.default_rng(seed), pdf[sums].to_numpy(np.int64)
+        out = [np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x)) @ x for _ in range(b)]
+        return pd.DataFrame(out, columns=sums).assign(b=range(b))[["b", *sums]]
+
+    return stats.where(F.col(unit).isNotNull()).select(unit, *sums).groupBy().applyInPandas(run, ", ".join(["b int", *(f"{c} long" for c in sums)]))
+
+
 def hash_draws(units: DataFrame, unit: str, b: int, seed: str) -> DataFrame:
     """(b, unit, mult) for any number of units: Poisson(1) multiplicities from hashes, in one pass without a generator."""
     u = F.conv(F.substring(stable_rank(F.lit(seed), F.col("b").cast("string"), F.col(unit).cast("string")), 1, 8), 16, 10).cast("long")

@@ -48,7 +48,10 @@ def apply_cutoffs(df: DataFrame, cutoffs: DataFrame, fold: str, by: list[str], s
 
 
 def bagged_cutoffs(df: DataFrame, fold: str, by: str, score: str, label: str, bags: int = 200, seed: int = 0) -> DataFrame:
-    """(held_out, by, tau): mean cutoff over bootstrap resamples of the other folds, seeded per fold and group."""
+    """(held_out, by, tau): mean cutoff over bootstrap resamples of the other folds, seeded per fold and group.
+
+    Resamples without positives have no cutoff and are left out; 0.5 where no row is positive.
+    """
     folds = df.select(F.col(fold).alias("held_out")).where("held_out is not null").distinct()
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(fold).alias("_f"), F.col(by).alias("item"), F.col(score).cast("double").alias("s"), F.col(label).alias("y")).join(F.broadcast(folds), F.col("_f") != F.col("held_out"))
 
@@ -56,8 +59,14 @@ def bagged_cutoffs(df: DataFrame, fold: str, by: str, score: str, label: str, ba
         pdf = pdf.sort_values(["s", "y"])
         s, y = pdf["s"].to_numpy(), pdf["y"].to_numpy(bool)
         rng = np.random.default_rng([seed, int(key[0]) + 1, sum(map(ord, str(key[1])))])
-        taus = [cutoff(s[i], y[i]) for i in (rng.integers(0, len(s), len(s)) for _ in range(bags))]
-        return pd.DataFrame({"held_out": [key[0]], "item": [key[1]], "tau": [float(np.mean(taus))]})
+        u, at = np.unique(s, return_inverse=True)
+        taus = []
+        for _ in range(bags if y.any() else 0):
+            i = rng.integers(0, len(s), len(s))
+            p = np.bincount(at[i][y[i]], minlength=len(u))
+            if p.any():
+                taus.append(counted_cutoff(u, np.bincount(at[i], minlength=len(u)), p))
+        return pd.DataFrame({"held_out": [key[0]], "item": [key[1]], "tau": [float(np.mean(taus)) if taus else cutoff(s, y)]})
 
     return rows.groupBy("held_out", "item").applyInPandas(fit, "held_out int, item string, tau double").withColumnRenamed("item", by)
 
@@ -76,6 +85,18 @@ def cutoff(s: np.ndarray, y: np.ndarray) -> float:
     return float(cand[np.flatnonzero(np.isclose(score, score.max(), atol=1e-12))[-1]])
 
 
+def counted_cutoff(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> float:
+    """:func:`cutoff` of a sample given as its rows ``n`` and positives ``p`` at each of the rising scores ``u``."""
+    there = n > 0
+    u, n, p = u[there], n[there], p[there]
+    cand = np.unique(np.concatenate([[0.0, 1.0], (u[1:] + u[:-1]) / 2]))
+    first = np.searchsorted(u, cand, "left")
+    above = lambda x: np.concatenate([np.cumsum(x[::-1])[::-1], [0]])[first]
+    tp, k, total = above(p), above(n), p.sum()
+    score = np.where(k + total > 0, 2 * tp / np.maximum(k + total, 1), 0.0)
+    return float(cand[np.flatnonzero(np.isclose(score, score.max(), atol=1e-12))[-1]])
+
+
 def nested_checkpoint(metrics: DataFrame, fold: str, step: str, value: str) -> DataFrame:
     """(fold, step, mean_others): per fold the step with the best mean over the other folds; ties to the first step."""
     m = metrics.groupBy(fold, step).agg(F.avg(value).alias("v"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.config import RARE
+from quillspark.config import BOOTSTRAPS, RARE
 from quillspark.functions.text import f1, stable_number, stable_rank, ws_count
 from quillspark.operators import metrics, realism, resample
 from quillspark.plans.base import SQL_GOLD, gold, posts, scored, sql_count, sql_list, sql_number, sql_posts, sql_scored
@@ -82,17 +82,15 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
 def user_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """T9 (hash draws), T10, T11, T12, J14: accuracy over resampled users."""
     s = _stats(spark, d)
-    rep = resample.bootstrap(s, resample.hash_draws(s, "unit", 200, "boot"), "unit", ["n", "hit"]).withColumn("acc", F.col("hit") / F.col("n"))
+    rep = resample.bootstrap(s, resample.hash_draws(s, "unit", BOOTSTRAPS, "boot"), "unit", ["n", "hit"]).withColumn("acc", F.col("hit") / F.col("n"))
     out = resample.summarize(rep, "acc")
     return out.select("n", *[F.round(c, 8).alias(c) for c in ("mean", "low", "high", "positive", "p")])
 
 
 @query()
 def pinned_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """T9 with one pinned generator over the stored folds as units."""
-    s = scored(spark, d).where("fold is not null").groupBy(F.col("fold").cast("string").alias("unit")).agg(F.count("*").alias("n"), F.sum(F.col("pred").eqNullSafe(F.col("risk")).cast("int")).alias("hit"))
-    units = sorted(r[0] for r in s.select("unit").collect())
-    rep = resample.bootstrap(s, resample.draws(spark, units, 500), "unit", ["n", "hit"]).withColumn("acc", F.col("hit") / F.col("n"))
+    """T9 with one pinned generator over users as units."""
+    rep = resample.pinned_bootstrap(_stats(spark, d), "unit", ["n", "hit"]).withColumn("acc", F.col("hit") / F.col("n"))
     return resample.summarize(rep, "acc").select("n", *[F.round(c, 8).alias(c) for c in ("mean", "low", "high")])
 
 

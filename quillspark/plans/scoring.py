@@ -106,16 +106,13 @@ def _score(factor: Column, f: str) -> Column:
     return F.when(factor, 300 + n).otherwise(n) / 1300.0
 
 
-_SHORT = FACTORS[:6]
-
-
 def _long_scores(spark: SparkSession, d: str) -> DataFrame:
     g = gold(spark, d).where("fold is not null")
-    cells = [F.struct(F.lit(f).alias("factor"), F.array_contains("factors", f).alias("y"), _score(F.array_contains("factors", f), f).alias("p")) for f in _SHORT]
+    cells = [F.struct(F.lit(f).alias("factor"), F.array_contains("factors", f).alias("y"), _score(F.array_contains("factors", f), f).alias("p")) for f in FACTORS]
     return g.select("row_id", "fold", F.explode(F.array(*cells)).alias("x")).select("row_id", "fold", "x.*")
 
 
-_LONG = f"WITH {SQL_GOLD}, sc AS (SELECT row_id, fold, factor, list_contains(factors, factor) AS y, (CASE WHEN list_contains(factors, factor) THEN 300 ELSE 0 END + {sql_number('row_id', 'factor', chr(39) + 'p' + chr(39))} % 1000) / 1300.0::DOUBLE AS p FROM gold_u, (SELECT unnest({sql_list(_SHORT)}) AS factor) WHERE fold IS NOT NULL)"
+_LONG = f"WITH {SQL_GOLD}, sc AS (SELECT row_id, fold, factor, list_contains(factors, factor) AS y, (CASE WHEN list_contains(factors, factor) THEN 300 ELSE 0 END + {sql_number('row_id', 'factor', chr(39) + 'p' + chr(39))} % 1000) / 1300.0::DOUBLE AS p FROM gold_u, (SELECT unnest({sql_list(FACTORS)}) AS factor) WHERE fold IS NOT NULL)"
 _TAU = """, ks AS (SELECT DISTINCT fold AS held_out FROM sc), d AS (SELECT held_out, factor, p AS s, count(*) FILTER (y) AS pos, count(*) AS n FROM ks JOIN sc ON fold <> held_out GROUP BY ALL),
 w AS (SELECT *, sum(pos) OVER (PARTITION BY held_out, factor ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY held_out, factor ORDER BY s DESC) AS k, sum(pos) OVER (PARTITION BY held_out, factor) AS total, lag(s) OVER (PARTITION BY held_out, factor ORDER BY s) AS low FROM d),
 cand AS (SELECT held_out, factor, CASE WHEN low IS NULL THEN 0.0 ELSE (low + s) / 2 END AS tau, total, round(CASE WHEN k + total > 0 THEN 2.0::DOUBLE * tp / (k + total) ELSE 0 END, 12) AS f1 FROM w),
@@ -141,7 +138,7 @@ def threshold_apply(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bagged_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """T3."""
-    return thresholds.bagged_cutoffs(_long_scores(spark, d), "fold", "factor", "p", "y", bags=20)
+    return thresholds.bagged_cutoffs(_long_scores(spark, d), "fold", "factor", "p", "y")
 
 
 @query(f"{_LONG}, d AS (SELECT factor, p, count(*) FILTER (y) AS a, count(*) FILTER (NOT y) AS b FROM sc GROUP BY factor, p), w AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY factor ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d) SELECT factor, CAST(sum(a) AS BIGINT) AS n_pos, CAST(sum(b) AS BIGINT) AS n_neg, round(sum(a * (below + b / 2.0::DOUBLE)) / (sum(a) * sum(b)), 8) AS auc FROM w GROUP BY factor")

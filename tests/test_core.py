@@ -11,10 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.config import CLASSES, FACTORS, RARE
+from quillspark.config import BOOTSTRAPS, CLASSES, FACTORS, RARE
 from quillspark.functions import text as T
 from quillspark.operators import agreement, checks, dedup, metrics, parse, render, resample, screen, spans, thresholds, timeline
-from quillspark.plans import prep, sampling
+from quillspark.plans import prep, sampling, scoring
 from quillspark.sources import files
 from quillspark.streaming.screening import screen_stream
 
@@ -283,3 +283,33 @@ def test_folds_split_no_component(spark, tmp_path):
             groups.setdefault(field(r), set()).add(got[r[0]])
         assert all(len(g) == 1 for g in groups.values())
     assert len({c for c, _ in got.values()}) == len(set(got.values())) and {f for _, f in got.values()} == set(range(5))
+
+
+def test_scoring_queries_cover_the_whole_job(spark, tmp_path):
+    gold = [(f"r{i}", CLASSES[i % 4], [], [FACTORS[i % 24], FACTORS[-1]], 1.0, i % 5) for i in range(240)]
+    d = _tables(
+        spark,
+        tmp_path,
+        gold=(gold, "row_id string, risk_norm string, gold_eval_spans array<string>, factors_set array<string>, train_weight double, fold int"),
+        posts=([(f"r{i}", f"u{i % 30}") for i in range(240)], "row_id string, anon_user_id string"),
+    )
+    for q in (scoring.nested_thresholds, scoring.threshold_apply, scoring.rank_auc):
+        assert {r["factor"] for r in q(spark, d).select("factor").collect()} == set(FACTORS)
+    assert sampling.user_bootstrap_ci(spark, d).first()["n"] == sampling.pinned_bootstrap(spark, d).first()["n"] == BOOTSTRAPS
+    stats = sampling._stats(spark, d)
+    units = sorted(r["unit"] for r in stats.collect())
+    two = [resample.pinned_bootstrap(stats, "unit", ["n", "hit"], 40), resample.bootstrap(stats, resample.draws(spark, units, 40), "unit", ["n", "hit"])]
+    assert len(units) == 30 and len({tuple(sorted(map(tuple, x.select("b", "n", "hit").collect()))) for x in two}) == 1
+    bag = {(r["held_out"], r["factor"]): r["tau"] for r in scoring.bagged_thresholds(spark, d).where("held_out = 0").collect()}
+    whole = thresholds.bagged_cutoffs(scoring._long_scores(spark, d), "fold", "factor", "p", "y", 200).where("held_out = 0").collect()
+    assert len(bag) == 24 and bag == {(r["held_out"], r["factor"]): r["tau"] for r in whole}
+
+
+def test_counted_cutoff_is_the_cutoff():
+    rng = np.random.default_rng(6)
+    for _ in range(80):
+        s, y = rng.integers(0, 8, 20) / 7, rng.random(20) < 0.3
+        u, at = np.unique(s, return_inverse=True)
+        i = rng.integers(0, 20, 20)
+        if y[i].any():
+            assert thresholds.counted_cutoff(u, np.bincount(at[i], minlength=len(u)), np.bincount(at[i][y[i]], minlength=len(u))) == thresholds.cutoff(s[i], y[i])
