@@ -16,6 +16,7 @@ repeated rows count once; empty tables give no rows.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.words import words
 
-LEAST, DIFFER, SEED, COST = 20, 0.15, 5, 3
+LEAST, DIFFER, SEED, GAP = 20, 0.15, 5, 8
 #: Words of evaluation items sent out at a time, and words of training text in one suffix array.
 BLOCK, SHARD = 2_000_000, 500_000
 _BITS = np.uint64(21)
@@ -65,7 +66,9 @@ class Suffixes:
 def stretch(doc: list[str], item: list[str]) -> tuple[int, int]:
     """(words of the item, differing words) of the best stretch of the item in the document.
 
-    Maximal common runs of two words and more are chained in order; every differing word between them costs ``COST``.
+    Maximal common runs of two words and more are chained in order, with at most ``GAP`` words between two of them.  From
+    each run as the start, every run that can be reached gets the least number of differing words on the way; the
+    longest stretch with at most ``DIFFER`` of them counts.
     """
     where: dict[tuple[str, str], list[int]] = {}
     for i in range(len(item) - 1):
@@ -79,24 +82,34 @@ def stretch(doc: list[str], item: list[str]) -> tuple[int, int]:
             while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
                 n += 1
             found.append((i, j, n))
-    best = (0, 0)
-    state: list[tuple[int, int, int]] = []  # (score, start in the item, differing words) of the best chain ending in each run
+    after: list[list[tuple[int, int]]] = [[] for _ in found]  # (later run, differing words up to it)
     for k, (i, j, n) in enumerate(found):
-        top = (n, i, 0)
-        for m in range(max(0, k - 200), k):
-            pi, pj, pn = found[m]
-            gi, gj = i - pi - pn, j - pj - pn
+        for m in range(k + 1, len(found)):
+            ni, nj, nn = found[m]
+            gi, gj = ni - i - n, nj - j - n
+            if gj > GAP:
+                break
             cut = max(0, -gi, -gj)
-            if cut >= n or pi >= i or pj >= j or max(gi, gj) > 8:
-                continue
-            gap = max(gi + cut, gj + cut)
-            score = state[m][0] + n - cut - COST * gap
-            if score > top[0]:
-                top = (score, state[m][1], state[m][2] + gap)
-        state.append(top)
-        length = i + n - top[1]
-        if top[2] <= DIFFER * length and length > best[0]:
-            best = (length, top[2])
+            if cut < nn and i < ni and j < nj and gi <= GAP:
+                after[k].append((m, max(gi + cut, gj + cut)))
+    best = (0, 0)
+    for k, (start, _, _) in enumerate(found):
+        most = DIFFER * (len(item) - start)
+        if len(item) - start <= best[0]:
+            continue
+        differ = {k: 0}
+        todo = [k]
+        while todo:
+            m = heapq.heappop(todo)  # runs in order: all ways to this one are known
+            length = found[m][0] + found[m][2] - start
+            if differ[m] <= DIFFER * length and length > best[0]:
+                best = (length, differ[m])
+            for x, gap in after[m]:
+                d = differ[m] + gap
+                if d <= most and d < differ.get(x, d + 1):
+                    if x not in differ:
+                        heapq.heappush(todo, x)
+                    differ[x] = d
     return best
 
 

@@ -292,3 +292,13 @@ def test_subjects(spark):
         got.setdefault(x["doc_id"], set()).add(x["subject"])
     assert np.mean([got.get(i) == w for i, w in want.items()]) > 0.95 and not {900, 901} & got.keys()
     assert subjects.subjects(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, subject string"), areas).count() == 0
+
+
+def test_stretch_with_early_and_close_differences():
+    w = [f"w{i}" for i in range(30)]
+    other = lambda item, *at: ["start", *("x" if i in at else v for i, v in enumerate(item)), "end"]
+    for k in range(2, 18):
+        assert leakage.stretch(other(w[:20], k), w[:20]) == (20, 1)
+    assert leakage.stretch(other(w[:21], 9, 11), w[:21]) == (21, 3)
+    assert leakage.stretch(other(w[:23], 3), w[:23]) == (23, 1)
+    assert leakage.stretch(other(w[:18]), w[:18])[0] == 18 and leakage.stretch(other(w[:20], 4, 8, 12, 16), w[:20])[0] < 20
