@@ -33,6 +33,14 @@ def digamma(x: Column) -> Column:
     return F.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - low
 
 
+def digamma_of(x: float) -> float:
+    """:func:`digamma` of a number."""
+    low = sum(1 / (x + i) for i in range(6))
+    y = x + 6
+    z = 1 / (y * y)
+    return math.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - low
+
+
 def answers(annotations: DataFrame) -> DataFrame:
     """(case_id, annotator, batch_id, label): the usable answers, label from 0 to 3."""
     a = annotations.where("case_id is not null and annotator is not null and lower(trim(status)) = 'complete'")
@@ -68,7 +76,8 @@ def fit(usable: DataFrame) -> tuple[DataFrame, DataFrame]:
         shares = n.agg(*[(F.sum(f"s{c}") + SHARE_PRIOR).alias(f"t{c}") for c in k]).first()
         if shares[0] is None:
             break
-        log_share = [math.log(x / sum(shares)) for x in shares]
+        whole = digamma_of(sum(shares))
+        log_share = [digamma_of(x) - whole for x in shares]
         sums = base.join(e, ["annotator", "label"]).groupBy("case_id").agg(*[(F.sum(f"e{c}") + log_share[c]).alias(f"l{c}") for c in k])
         now = stage(sums.select("case_id", *[x.alias(f"q{c}") for c, x in zip(k, _softmax([F.col(f"l{c}") for c in k]), strict=True)]), "posterior")
         moved = now.alias("x").join(q.alias("y"), "case_id").agg(F.max(F.greatest(*[F.abs(F.col(f"x.q{c}") - F.col(f"y.q{c}")) for c in k]))).first()[0]

@@ -8,7 +8,7 @@ surviving record is the one that supports the group best: it claims something fo
 comes from the most trusted source; the support of its claims decides between equals, and the row id at last.
 
 Defined results: entries that say nothing are no claims; a date that is missing or impossible (before 2000, after the
-row's own delivery, or in the 24th century) counts as oldest; unknown origins have trust 0; a row delivered twice is one
+row's own delivery, or from 2100 on) counts as oldest; unknown origins have trust 0; a row delivered twice is one
 record with the entries of all its deliveries; a group needs two records; no groups give an empty result.
 """
 
@@ -29,7 +29,8 @@ ROUNDS, STILL, PRIOR = 10, 1e-3, 4.0
 
 def possible(date: Column, delivered: Column) -> Column:
     """The date, or null where it is impossible."""
-    return F.when((date >= F.lit("2000-01-01").cast("timestamp_ntz")) & ~F.coalesce(date > delivered, F.lit(False)), date)
+    low, high = (F.lit(x).cast("timestamp_ntz") for x in ("2000-01-01", "2100-01-01"))
+    return F.when((date >= low) & (date < high) & ~F.coalesce(date > delivered, F.lit(False)), date)
 
 
 def groups(posts: DataFrame) -> DataFrame:
@@ -65,16 +66,16 @@ def discover(record: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame
     # Equal claims of one source in one group are one row with a count, so that hot groups stay small.
     votes = stage(claims.groupBy("group_id", "field", "value", "source").agg(F.count("*").alias("n")), "votes")
     trust = votes.select("source").distinct().withColumn("r", F.lit(0.8))
-    before: dict[str, float] = {}
+    before = trust.withColumnRenamed("r", "old")
     for _ in range(ROUNDS):
         weight = votes.join(trust, "source").groupBy("group_id", "field", "value").agg(F.sum(F.col("n") * F.col("r")).alias("w"))
         weight = weight.withColumn("support", F.col("w") / F.sum("w").over(Window.partitionBy("group_id", "field")))
         trust = stage(votes.join(weight, ["group_id", "field", "value"]).groupBy("source").agg(((F.sum(F.col("n") * F.col("support")) + F.lit(PRIOR * 0.8)) / (F.sum("n") + PRIOR)).alias("r")), "trust")
-        # Sources number as many as the table of origins has rows: a fixed, small table.
-        now = {r["source"]: r["r"] for r in trust.collect()}
-        if before and max((abs(now[s] - before.get(s, 0.0)) for s in now), default=0.0) < STILL:
+        # Sources are never collected: unlike the table of origins, what stands in the records is not bounded.
+        moved = trust.join(before, "source").agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0]
+        if moved is None or moved < STILL:
             break
-        before = now
+        before = trust.withColumnRenamed("r", "old")
     weight = votes.join(trust, "source").groupBy("group_id", "field", "value").agg(F.sum(F.col("n") * F.col("r")).alias("w"))
     weight = weight.withColumn("support", F.col("w") / F.sum("w").over(Window.partitionBy("group_id", "field"))).select("group_id", "field", "value", "support")
     return claims.join(weight, ["group_id", "field", "value"]), trust

@@ -1,9 +1,10 @@
 """Distributed union-find: local forests, merged hierarchically.
 
-Every partition reduces its edges to a spanning forest (one edge per node that is not a root).  Forests of neighbouring
-partitions are then merged, a few partitions into one, level by level.  One task never holds more than ``bound`` forest
-edges: while the forests hold more, rounds of alternating large and small stars shrink them first, and if they alone reach
-the fixed point, no merge in one task happens at all.
+Edges are dealt evenly over partitions of at most ``EDGES`` each, without regard to their ends, so that a node with a tenth
+of all edges is no hot key.  Every partition reduces its edges to a spanning forest (one edge per node that is not a root).
+Forests are then merged, a few partitions into one, level by level.  One task never holds more than ``bound`` forest edges:
+while the forests hold more, rounds of alternating large and small stars shrink them first, and if they alone reach the
+fixed point, no merge in one task happens at all.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.staging import stage
 
-BOUND, FAN = 1_000_000, 8
+BOUND, FAN, EDGES = 1_000_000, 8, 500_000
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -66,11 +67,11 @@ def components(edges: DataFrame, bound: int = BOUND, partitions: int | None = No
 
     Null ends and loops are no edges; repeated and reversed edges count once; no edges give no rows.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    n = partitions or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = stage(_forests(e.repartition(n, "b")), "forest")
+    e = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b"), "edges")
+    size, before = e.count(), None
+    n = partitions or max(1, -(-size // EDGES))
+    now = stage(_forests(e.repartition(n)), "forest")
     size = now.count()
-    before = None
     while size > bound:
         now = stage(_stars(now), "stars")
         size, mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
@@ -78,13 +79,11 @@ def components(edges: DataFrame, bound: int = BOUND, partitions: int | None = No
             return _finish(now)
         before = size, mark
         if size > bound:
-            now = stage(_forests(now.repartition(n, "b")), "forest")
+            now = stage(_forests(now.repartition(max(1, -(-size // EDGES)))), "forest")
             size = now.count()
     while n > 1:
-        n = max(1, n // FAN)
-        now = _forests(now.repartition(n) if n > 1 else now.coalesce(1))
-        if n > 1:
-            now = stage(now, "forest")
+        n = -(-n // FAN)
+        now = stage(_forests(now.repartition(n)), "forest")
     return _finish(now)
 
 
