@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from quillspark.llm.words import folded, words
 
 # Frequent function words of each language, without accents.
@@ -25,6 +27,7 @@ for _own in _WEIGHT.values():
     for _lang in _own:
         _own[_lang] = 1.0 / len(_own)
 _RANGES = (("ru", 0x400, 0x4FF), ("el", 0x370, 0x3FF), ("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("ko", 0xAC00, 0xD7AF), ("ar", 0x600, 0x6FF), ("he", 0x590, 0x5FF), ("hi", 0x900, 0x97F), ("th", 0xE00, 0xE7F))
+_OTHER = re.compile("[\u0370-\uffff]")
 
 
 def scores(tokens: list[str]) -> dict[str, float]:
@@ -37,18 +40,22 @@ def scores(tokens: list[str]) -> dict[str, float]:
 
 
 def language(text: str | None, least: float = 1.0, lead: float = 1.2) -> str | None:
-    """The language of the text; None if it is null, has too few function words or no language leads.
+    """The language of the text; None if it is null, has too few function words or no language leads."""
+    return language_of(words(text), text, least, lead)
+
 
-    A text mostly of letters of one other script is named by that script.
-    """
+def language_of(tokens: list[str], text: str | None, least: float = 1.0, lead: float = 1.2) -> str | None:
+    """The language of a text with these words.  A text mostly of letters of one other script is named by that script."""
     if not text:
         return None
-    if not text.isascii():
+    if _OTHER.search(text):
         letters = [ord(c) for c in folded(text) if c.isalpha()]
         for lang, low, high in _RANGES:
             if letters and sum(low <= c <= high for c in letters) > 0.5 * len(letters):
                 return lang
-    found = sorted(((s, lang) for lang, s in scores(words(text)).items()), reverse=True)
-    if not found or found[0][0] < least or len(found) > 1 and found[0][0] < lead * found[1][0]:
+    found = scores(tokens)
+    if not found:
         return None
-    return found[0][1]
+    top = max(found, key=lambda k: (found[k], k))
+    second = max((v for k, v in found.items() if k != top), default=0.0)
+    return top if found[top] >= least and found[top] >= lead * second else None

@@ -54,7 +54,7 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.defects(table(spark, folder, "outputs", "draft_id", "case_id", "text", "stop_reason"), table(spark, folder, "prompts"))
+    return pairs.defects(table(spark, folder, "outputs", "draft_id", "case_id", "text", "status", "stop_reason"), table(spark, folder, "prompts"))
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:

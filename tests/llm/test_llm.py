@@ -86,13 +86,37 @@ def test_links_equal_brute_force(spark):
     assert {(r["a"], r["b"]) for r in found.collect()} == want and want
 
 
-def test_large_band_keys_lose_no_link(spark, monkeypatch):
-    base = text(80, 5)
-    df = spark.createDataFrame([(f"r{i}", edited(base, i, 1)) for i in range(40)], "row_id string, text string")
+def _near(data: list[tuple[str, str]]) -> set[tuple[str, str]]:
+    return {(a, c) for i, (a, b) in enumerate(data) for c, d in data[i + 1 :] if overlap(b, d) >= neardup.SHARE}
+
+
+def test_crowded_keys_lose_no_link(spark):
+    """60 texts under one opening, half of them with a near copy: every pair is found though all meet in crowded keys."""
+    opening = text(40, 9)
+    data = [(f"r{i:02d}", f"{opening} {text(60, 100 + i)}") for i in range(60)]
+    data += [(f"s{i:02d}", edited(data[i][1], i, 3)) for i in range(0, 60, 2)]
+    df = spark.createDataFrame(data, "row_id string, text string").repartition(3)
+    rows = neardup.signed(df).cache()
+    crowd = neardup.candidates(rows)[1]
+    assert crowd.count() > neardup.FULL
+    node = {r["row_id"]: r["node"] for r in rows.collect()}
+    want = {tuple(sorted((node[a], node[b]))) for a, b in _near(data)}
+    assert len(want) == 30 and {(r["a"], r["b"]) for r in neardup.links(rows, df, "row_id").collect()} == want
+
+
+def test_many_variants_of_one_text_stay_together(spark):
+    """Two groups of 45 variants, one of which drifts away from its start: components as by all pairs."""
+    a, drift = text(80, 5), [text(80, 6)]
+    for i in range(44):
+        drift.append(edited(drift[-1], 300 + i, 2).lower().replace("!", "").replace("zzz", f"q{i}"))
+    data = [(f"a{i:02d}", edited(a, i, 1)) for i in range(45)] + [(f"d{i:02d}", t) for i, t in enumerate(drift)]
+    df = spark.createDataFrame(data, "row_id string, text string")
     rows = neardup.signed(df).cache()
-    monkeypatch.setattr(neardup, "FULL", 3)
+    node = {r["row_id"]: r["node"] for r in rows.collect()}
     roots = unionfind.components(neardup.links(rows, df, "row_id"))
-    assert roots.select("root").distinct().count() == 1
+    got = {r["node"]: r["root"] for r in roots.collect()}
+    want = unionfind.forest(iter((node[x], node[y]) for x, y in _near(data)))
+    assert got == want and len(set(want.values())) == 2
 
 
 @pytest.mark.parametrize("bound", [0, 10, 10**6])
@@ -216,11 +240,15 @@ def test_suffix_search_finds_every_run():
 def test_defects(spark):
     shown = "When my aunt came I hid the letters in the shed. Nobody asked me why I did that on Monday."
     prompts = [(f"c{i}", "One post.", f"Posts:\n[1] {shown}\nWrite the next one.") for i in range(6)]
-    good = [f"My brother fixed the old gate number {w} before dinner. I was proud of him on Friday." for w in VOCABULARY[:40]]
-    bad = [("e1", "c0", "​", "empty"), ("e2", "c0", None, "empty"), ("r1", "c1", "I'm sorry, but I can't write this post.", "refusal"), ("r2", "c1", "Je préfère ne pas rédiger un tel texte.", "refusal"), ("p1", "c2", shown.replace("Monday", "Tuesday"), "prompt_copy"), ("t1", "c3", good[0] + " My brother fixed the", "truncated"), ("o1", "c4", "Ich habe das mit meiner Mutter nicht so gut gemacht. Der Tag war lang und die Nacht auch.", "other_language")]
-    rows = [(f"g{i}", f"c{i % 6}", t, "end_turn") for i, t in enumerate(good)] + [(d, c, t, None) for d, c, t, _ in bad] + [("g0", "c0", good[0], "end_turn"), ("np", "zz", good[1], None)]
-    got = {tuple(r) for r in pairs.defects(spark.createDataFrame(rows, "draft_id string, case_id string, text string, stop_reason string"), spark.createDataFrame(prompts, "case_id string, system_text string, user_text string")).collect()}
-    assert got == {(d, k) for d, _, _, k in bad}
+    good = [f"My brother fixed the old gate number {w} before dinner. I was proud of him on Friday." for w in VOCABULARY[:60]]
+    # A long answer that speaks of what its author cannot do declines nothing.
+    decoys = [f"{g} I can't write to my {p} about it, not yet. I won't be able to help my {p} move this time. We met again at noon." for g, p in zip(good, ["aunt", "uncle", "boss", "nurse"] * 5, strict=False)]
+    refused = [(f"s{i}", f"c{i % 6}", f"Sorry, I cannot {v} this {o}.", "refusal") for i, (v, o) in enumerate((v, o) for v in ("write", "produce", "create") for o in ("post", "text", "message"))]
+    bad = [("e1", "c0", "\u200b", "empty"), ("e2", "c0", None, "empty"), ("r1", "c1", "I'm sorry, but I can't write this post.", "refusal"), ("r2", "c1", "Je préfère ne pas rédiger un tel texte.", "refusal"), ("r3", "c1", f"{good[3]} Sorry, I cannot create this text.", "refusal"), ("p1", "c2", shown.replace("Monday", "Tuesday"), "prompt_copy"), ("t1", "c3", good[0] + " My brother fixed the", "truncated"), ("o1", "c4", "Ich habe das mit meiner Mutter nicht so gut gemacht. Der Tag war lang und die Nacht auch.", "other_language")]
+    rows = [(f"g{i}", f"c{i % 6}", t, "ok", "end_turn") for i, t in enumerate(good + decoys)] + [(d, c, t, "ok", None) for d, c, t, _ in bad] + [(d, c, t, "refusal", "refusal") for d, c, t, _ in refused] + [("g0", "c0", good[0], "ok", "end_turn"), ("np", "zz", good[1], None, None)]
+    outputs = spark.createDataFrame(rows, "draft_id string, case_id string, text string, status string, stop_reason string")
+    got = {tuple(r) for r in pairs.defects(outputs, spark.createDataFrame(prompts, "case_id string, system_text string, user_text string")).collect()}
+    assert got == {(d, k) for d, _, _, k in bad + refused}
 
 
 def test_languages():
