@@ -92,18 +92,33 @@ def in_taxonomy(items: Column, taxonomy: list[str]) -> Column:
 
 
 def clean_post(c: Column) -> Column:
-    """Stripped, without one pair of matching outer quotes."""
+    """Stripped, without one pair of the same straight quote around it."""
     t = ws_trim(c)
-    outer = t.rlike('(?s)^".+"$') | t.rlike("(?s)^'.+'$") | t.rlike("(?s)^“.+”$")
-    return F.when(outer, ws_trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    outer = t.rlike('(?s)^".*"$') | t.rlike("(?s)^'.*'$")
+    return F.when(outer & (F.length(t) >= 2), ws_trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
 
 
 def match_apostrophes(post: Column, around: Column) -> Column:
-    """Curly apostrophes if the surrounding text has more curly than straight ones."""
-    n = lambda ch: F.length(around) - F.length(F.replace(around, F.lit(ch), F.lit("")))
+    """Curly apostrophes if the surrounding posts (an array of texts) have more curly than straight ones."""
+    whole = F.array_join(around, "")
+    n = lambda ch: F.length(whole) - F.length(F.replace(whole, F.lit(ch), F.lit("")))
     return F.when(n("’") > n("'"), F.replace(post, F.lit("'"), F.lit("’"))).otherwise(post)
 
 
+def shown_posts(prompt: Column) -> Column:
+    """The numbered posts that a rendered prompt shows, without their clip marks; what stands before the first number and the
+    request in the last line are no posts.  Null for a null prompt."""
+    body = F.regexp_replace(prompt, r"\n[^\n]*$", "")
+    parts = F.split(body, r"(?m)^\[[0-9]+\] ?")
+    return F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: ws_trim(F.regexp_replace(x, r"\s*\[\.\.\.\]\s*$", ""))), lambda x: x != "")
+
+
+def focal(rendered: Column, start: str = "[?] ", after: str = "\n[") -> Column:
+    """The focal text of a rendered timeline: what stands behind the start mark, up to the next mark; null without a start."""
+    t = F.substring_index(rendered, start, -1)
+    return F.when(F.contains(rendered, F.lit(start)), F.substring_index(t, after, 1))
+
+
 def clip(c: Column, limit: int, mark: str) -> Column:
     """White space collapsed; beyond the limit cut, right-stripped and marked."""
     t = ws_trim(ws_collapse(c))
@@ -124,6 +139,17 @@ def stable_rank(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def literal_list(c: Column) -> Column:
+    """A cell with a list of quoted strings, either quote, as an array; null for anything else.
+
+    Items may hold the other quote, and their own quote behind a backslash.
+    """
+    item = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+    whole = ws_trim(c).rlike(rf"^\[\s*(?:(?:{item})(?:\s*,\s*(?:{item}))*)?\s*,?\s*\]$")
+    bare = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")
+    return F.when(whole, F.transform(F.regexp_extract_all(c, F.lit(f"({item})"), 1), bare))
+
+
 def stable_number(*parts: Column) -> Column:
     """A number from 0 to 2^32 - 1 from the first eight hex digits of the stable rank."""
     return F.conv(F.substring(stable_rank(*parts), 1, 8), 16, 10).cast("long")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.operators.metrics import phrase_f1, set_micro
 
-def ratings(annotations: DataFrame, label: F.Column) -> DataFrame:
+
+def ratings(annotations: DataFrame, label: Column) -> DataFrame:
     """(case_id, annotator, label): the last complete answer of each annotator; ties by label."""
     a = annotations.where("status = 'complete' and case_id is not null and annotator is not null").select("case_id", "annotator", "submitted_at", label.alias("label"))
     return a.groupBy("case_id", "annotator").agg(F.max(F.struct("submitted_at", "label"))["label"].alias("label")).where("label is not null")
@@ -62,6 +64,116 @@ def medians(annotations: DataFrame) -> DataFrame:
     return done.groupBy("case_id").agg(F.percentile("naturalness", F.lit(0.5)).alias("naturalness"), F.min("confidence").alias("confidence"))
 
 
+def answers(annotations: DataFrame, risk: Column) -> DataFrame:
+    """(case_id, annotator, risk, evidence, factors, issue_tags, naturalness, confidence): the last complete answer of each
+    annotator to each case; ties by class name.  Null lists are unclear and stay null; a list counts each entry once."""
+    a = annotations.where("status = 'complete' and case_id is not null and annotator is not null").withColumn("_r", risk)
+    tidy = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull()))).alias(c)
+    last = F.max(F.struct("submitted_at", "_r", tidy("evidence"), tidy("factors"), tidy("issue_tags"), "naturalness", "confidence")).alias("o")
+    return a.groupBy("case_id", "annotator").agg(last).select("case_id", "annotator", F.col("o._r").alias("risk"), "o.evidence", "o.factors", "o.issue_tags", "o.naturalness", "o.confidence")
+
+
+def answer_pairs(r: DataFrame) -> DataFrame:
+    """(case_id, a, b, x, y): the answers of every two annotators of a case, a before b.  A case has as many answers as it
+    has annotators, so pairs are bounded by the design of the audit."""
+    body = F.struct(*[c for c in r.columns if c not in ("case_id", "annotator")])
+    s = r.select("case_id", "annotator", body.alias("v"))
+    j = s.alias("p").join(s.alias("q"), "case_id").where("p.annotator < q.annotator")
+    return j.select("case_id", F.col("p.annotator").alias("a"), F.col("q.annotator").alias("b"), F.col("p.v").alias("x"), F.col("q.v").alias("y"))
+
+
+def pairwise_sets(r: DataFrame, unclear: str = "Unclear") -> DataFrame:
+    """(a, b, n_cases, risk_n, risk_exact, factor_n, factor_exact, tp, fp, fn, precision, recall, f1, naturalness_a, naturalness_b).
+
+    Unclear classes and null factor lists are left out of their figures; figures without cases are null.
+    """
+    j = answer_pairs(r)
+    clear = (F.col("x.risk") != unclear) & (F.col("y.risk") != unclear)
+    both = F.col("x.factors").isNotNull() & F.col("y.factors").isNotNull()
+    g = j.groupBy("a", "b").agg(F.count("*").alias("n_cases"), F.count(F.when(clear, 1)).alias("risk_n"), F.avg(F.when(clear, (F.col("x.risk") == F.col("y.risk")).cast("double"))).alias("risk_exact"), F.avg("x.naturalness").alias("naturalness_a"), F.avg("y.naturalness").alias("naturalness_b"))
+    s = set_micro(j.where(both).select("a", "b", F.col("x.factors").alias("p"), F.col("y.factors").alias("g")), "g", "p", ["a", "b"])
+    return g.join(s.withColumnRenamed("n", "factor_n").withColumnRenamed("exact", "factor_exact"), ["a", "b"], "left").withColumn("factor_n", F.coalesce("factor_n", F.lit(0)))
+
+
+def pairwise_evidence(r: DataFrame) -> DataFrame:
+    """(a, b, evidence_n, evidence_f1): mean phrase F1 of both directions over cases where both evidence lists are clear."""
+    j = answer_pairs(r).where("x.evidence is not null and y.evidence is not null").select("a", "b", F.col("x.evidence").alias("p"), F.col("y.evidence").alias("g"))
+    back = j.select("a", "b", F.col("g").alias("p"), F.col("p").alias("g"))
+    return phrase_f1(j.union(back), "g", "p").groupBy("a", "b").agg((F.count("*") / 2).cast("long").alias("evidence_n"), F.avg("phrase_f1").alias("evidence_f1"))
+
+
+def consensus(r: DataFrame, classes: list[str], unclear: str = "Unclear") -> DataFrame:
+    """(case_id, n_answers, risk, evidence_from, evidence, factors, issue_tags, confidence, naturalness, source).
+
+    risk: the class of at least two and of more than half of the answers, else unclear.  Factors and tags: those that more than half
+    give.  Evidence: of the annotator with the majority class whose evidence has the highest mean phrase F1 with the others
+    (ties to the first name); none for the lowest class.  confidence: least of the majority; naturalness: median of all.
+    With an unclear class everybody counts as the majority.
+    """
+    votes = r.where("risk is not null").groupBy("case_id", "risk").agg(F.count("*").alias("c")).groupBy("case_id").agg(F.max(F.struct("c", "risk")).alias("t"), F.sum("c").alias("n_answers"))
+    won = (F.col("t.c") >= 2) & (2 * F.col("t.c") > F.col("n_answers"))
+    top = votes.select("case_id", "n_answers", F.when(won, F.col("t.risk")).otherwise(unclear).alias("_risk"), F.when(F.col("t.c") == F.col("n_answers"), "agreement").otherwise("majority").alias("source"))
+    d = r.where("risk is not null").join(top, "case_id")
+    many = d.groupBy("case_id").agg(F.count(F.when(F.col("risk") == F.col("_risk"), 1)).alias("_m"))
+    d = d.join(many, "case_id").withColumn("_major", (F.col("_m") == 0) | (F.col("risk") == F.col("_risk")))
+    pair = answer_pairs(r.where("risk is not null"))
+    empty = F.array().cast("array<string>")
+    one = pair.select("case_id", F.col("a").alias("annotator"), F.coalesce("x.evidence", empty).alias("p"), F.coalesce("y.evidence", empty).alias("g"))
+    two = pair.select("case_id", F.col("b").alias("annotator"), F.coalesce("y.evidence", empty).alias("p"), F.coalesce("x.evidence", empty).alias("g"))
+    like = phrase_f1(one.union(two), "g", "p").groupBy("case_id", "annotator").agg(F.round(F.avg("phrase_f1"), 12).alias("_like"))
+    e = d.where("_major").join(like, ["case_id", "annotator"], "left").withColumn("_like", F.coalesce("_like", F.lit(0.0)))
+    best = e.withColumn("_r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("_like"), "annotator"))).where("_r = 1").select("case_id", F.col("annotator").alias("evidence_from"), "evidence")
+    least = e.groupBy("case_id").agg(F.min("confidence").alias("confidence"))
+    out = d.groupBy("case_id", "n_answers", F.col("_risk").alias("risk"), "source").agg(F.percentile("naturalness", F.lit(0.5)).alias("naturalness")).join(best, "case_id").join(least, "case_id")
+    for c in ("factors", "issue_tags"):
+        kept = d.select("case_id", "n_answers", F.explode(c).alias("_x")).groupBy("case_id", "n_answers", "_x").agg(F.count("*").alias("_c")).where("_c >= 2 and 2 * _c > n_answers").groupBy("case_id").agg(F.array_sort(F.collect_list("_x")).alias(c))
+        out = out.join(kept, "case_id", "left").withColumn(c, F.coalesce(c, empty))
+    low = F.col("risk") == classes[0]
+    return out.withColumn("evidence", F.when(low, empty).otherwise(F.coalesce("evidence", empty))).withColumn("evidence_from", F.when(~low, F.col("evidence_from"))).select("case_id", "n_answers", "risk", "evidence_from", "evidence", "factors", "issue_tags", "confidence", "naturalness", "source")
+
+
+def fidelity(r: DataFrame, key: DataFrame, unclear: str = "Unclear") -> DataFrame:
+    """(annotator, figures): each annotator's answers against the assigned labels ``key`` (case_id, risk, factors).
+
+    n_cases, unclear_risk, unclear_factors, risk_accuracy, exact factor sets, tp, fp, fn, affirmed (share of assigned factors
+    found), extra (factors not assigned, per case), naturalness, confidence, n_flagged (answers with issue tags).
+    """
+    j = r.join(key.select("case_id", F.col("risk").alias("_risk"), F.col("factors").alias("_factors")), "case_id")
+    clear = F.col("risk") != unclear
+    f = F.col("factors")
+    g = j.groupBy("annotator").agg(
+        F.count("*").alias("n_cases"), F.count(F.when(~F.coalesce(clear, F.lit(False)), 1)).alias("unclear_risk"), F.count(F.when(f.isNull(), 1)).alias("unclear_factors"),
+        F.avg(F.when(clear, (F.col("risk") == F.col("_risk")).cast("double"))).alias("risk_accuracy"),
+        F.avg(F.when(f.isNotNull(), (F.array_sort(f) == F.array_sort("_factors")).cast("double"))).alias("factor_exact"),
+        F.sum(F.size(F.array_intersect(f, "_factors"))).alias("tp"), F.sum(F.size(F.array_except(f, "_factors"))).alias("fp"), F.sum(F.size(F.array_except("_factors", f))).alias("fn"),
+        F.avg("naturalness").alias("naturalness"), F.avg("confidence").alias("confidence"), F.count(F.when(F.size("issue_tags") > 0, 1)).alias("n_flagged"),
+    )
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    g = g.withColumns({c: z(c) for c in ("tp", "fp", "fn")})
+    return g.withColumn("affirmed", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("extra", F.col("fp") / F.col("n_cases"))
+
+
+def factor_fidelity(r: DataFrame, key: DataFrame, taxonomy: list[str]) -> DataFrame:
+    """(factor, assigned, affirmed, extra, rate): over all clear answers, how often each assigned factor is found."""
+    j = r.where("factors is not null").join(key.select("case_id", F.col("factors").alias("_factors")), "case_id")
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("factor"), F.array_contains("_factors", x).alias("g"), F.array_contains("factors", x).alias("p")) for x in taxonomy]))
+    s = j.select(cells.alias("c")).groupBy("c.factor").agg(F.count(F.when(F.col("c.g"), 1)).alias("assigned"), F.count(F.when(F.col("c.g") & F.col("c.p"), 1)).alias("affirmed"), F.count(F.when(~F.col("c.g") & F.col("c.p"), 1)).alias("extra"))
+    return s.withColumn("rate", F.try_divide(F.col("affirmed"), F.col("assigned")))
+
+
+def target_recall(rows: DataFrame, target: str, pred: str, by: list[str] | None = None) -> DataFrame:
+    """(by, target, n, hits, recall): how often the target factor is among the predicted ones."""
+    hit = F.coalesce(F.array_contains(F.col(pred), F.col(target)), F.lit(False))
+    return rows.where(F.col(target).isNotNull()).groupBy(*(by or []), target).agg(F.count("*").alias("n"), F.count(F.when(hit, 1)).alias("hits"), F.avg(hit.cast("double")).alias("recall"))
+
+
+def shifts(rows: DataFrame, gold: str, pred: str, by: list[str] | None = None, limit: int = 8) -> DataFrame:
+    """(by, gold, pred, n): the most frequent mistakes, at most ``limit`` per group; ties by name.  The limit is the feature."""
+    c = rows.where(F.col(gold) != F.col(pred)).groupBy(*(by or []), gold, pred).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("n"), gold, pred)
+    return c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+
 def pair_match_table(r: DataFrame) -> DataFrame:
     """(label, both, a_only, b_only, neither) over items rated by exactly two annotators, in order of their names."""
     w = Window.partitionBy("case_id").orderBy("annotator")

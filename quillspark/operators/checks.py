@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import official_match, parse_evidence
+from quillspark.functions.text import official_match, parse_evidence, ws_count
 
 
 def duplicated(df: DataFrame, key: str) -> DataFrame:
@@ -45,9 +45,58 @@ def split_components(df: DataFrame, component: str, fold: str) -> DataFrame:
     return df.where(f"{fold} is not null").groupBy(component).agg(F.count_distinct(fold).alias("n_folds")).where("n_folds > 1")
 
 
-def leaked(exemplars: DataFrame, folds: DataFrame, key: str, fold: int) -> DataFrame:
-    """(key): exemplars that lie in the held-out fold."""
-    return exemplars.join(folds.where(F.col("fold") == fold), key).select(key).distinct()
+def leaked(exemplars: DataFrame, folds: DataFrame, key: str, held_out: str, fold: str) -> DataFrame:
+    """(key, held_out): exemplars of each training file that lie in the fold it holds out.
+
+    ``exemplars``: (key, held_out), ``folds``: (key, fold).
+    """
+    j = exemplars.join(folds.select(key, F.col(fold).alias("_fold")), key)
+    return j.where(F.col("_fold") == F.col(held_out)).select(key, held_out).distinct()
+
+
+def thin_folds(df: DataFrame, fold: str, label: str, value: str, least: int, folds: int = 5) -> DataFrame:
+    """(fold, n): folds with fewer than ``least`` rows of the class, those with none too."""
+    every = df.sparkSession.range(folds).select(F.col("id").cast("int").alias(fold))
+    n = df.where(F.col(label) == value).groupBy(F.col(fold).cast("int").alias(fold)).agg(F.count("*").alias("n"))
+    return every.join(n, fold, "left").select(fold, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
+
+
+def absent_items(df: DataFrame, fold: str, items: str, taxonomy: list[str], folds: int = 5) -> DataFrame:
+    """(item, fold): entries of the taxonomy that no row of the fold has."""
+    spark = df.sparkSession
+    every = spark.range(folds).select(F.col("id").cast("int").alias(fold), F.explode(F.array(*map(F.lit, taxonomy))).alias("item"))
+    have = df.select(F.col(fold).cast("int").alias(fold), F.explode(items).alias("item")).distinct()
+    return every.join(have, [fold, "item"], "left_anti").select("item", fold)
+
+
+def novel_characters(new: DataFrame, known: DataFrame, text: str) -> DataFrame:
+    """(character, n): characters beyond ASCII in ``new`` that no text of ``known`` has, with the texts that have them."""
+    chars = lambda d: d.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("([^\\x00-\\x7f])"), 1))).alias("character"))
+    return chars(new).groupBy("character").agg(F.count("*").alias("n")).join(chars(known).distinct(), "character", "left_anti")
+
+
+def span_constraints(df: DataFrame, key: str, spans: str, most: int) -> DataFrame:
+    """(key, reason): spans with a separator or line break, or with more than ``most`` tokens."""
+    reason = lambda s: F.when(s.rlike("[;\n]"), "separator").when(ws_count(s) > most, "long")
+    return df.select(key, F.explode(F.transform(spans, reason)).alias("reason")).where("reason is not null").distinct()
+
+
+def overrides(df: DataFrame, key: str, given: str, resolved: str, flag: str) -> DataFrame:
+    """(key, flagged): rows whose resolved label is not the given one."""
+    return df.where(~F.col(given).eqNullSafe(F.col(resolved))).select(key, F.col(flag).alias("flagged"))
+
+
+def expect(got: DataFrame, want: DataFrame, name: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """(name, got, want, ok): figures against the ones they must reproduce; a figure that one side lacks is not ok."""
+    j = got.select(name, F.col(value).cast("double").alias("got")).join(want.select(name, F.col(value).cast("double").alias("want")), name, "full")
+    return j.withColumn("ok", F.coalesce(F.abs(F.col("got") - F.col("want")) <= tolerance, F.lit(False)))
+
+
+def demand(result: DataFrame) -> None:
+    """Raises if any row of :func:`expect` is not ok; at most 20 of them are named."""
+    bad = result.where("not ok").limit(20).collect()
+    if bad:
+        raise AssertionError("; ".join(f"{r[0]}: {r['got']} for {r['want']}" for r in bad))
 
 
 def representatives(df: DataFrame, cluster: str, flag: str) -> DataFrame:

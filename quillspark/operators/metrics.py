@@ -5,7 +5,7 @@ Inputs have one row per record.  Undefined ratios count 0 where the scorer says
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -161,7 +161,28 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
-def partition_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Row counts per batch; a probe of partition balance."""
-    for pdf in it:
-        yield pd.DataFrame({"rows": [len(pdf)]})
+def spearman_p(rho: float, n: int) -> float | None:
+    """Two-sided p of a rank correlation by Student's t with n - 2 degrees; null below three pairs.
+
+    The tail of t is the regularised incomplete beta function, summed by its continued fraction.
+    """
+    if n < 3 or rho is None:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    a, b, x = (n - 2) / 2, 0.5, 1 - rho * rho
+
+    def fraction(a: float, b: float, x: float) -> float:
+        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+        h = d
+        for m in range(1, 400):
+            for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / (1 + k * d)
+                c = 1 + k / c
+                h *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return h
+
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b

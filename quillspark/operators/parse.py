@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.config import CLASSES, FACTORS
-from quillspark.operators.spans import Forms
+from quillspark.operators.spans import realign
 
 PARSED = "struct<ok boolean, risk string, evidence array<string>, factors array<string>, dropped int>"
 
@@ -26,28 +26,26 @@ def strip_fence(text: str) -> str:
 
 
 def parse_one(text: str | None, raw: str | None, classes: list[str] = CLASSES, taxonomy: list[str] = FACTORS) -> dict:
-    """The record of one generation.  Any violation of the schema makes it not ok; phrases that do not align are dropped."""
+    """The record of one generation: not ok without an object, a known class, a list of evidence or factors of the taxonomy.
+
+    Phrases that are no text, blank or nowhere in the post are dropped and counted.  In a map of factors one that is not
+    there is false; a factor outside the taxonomy makes the record not ok if it is in a list.
+    """
     bad = {"ok": False, "risk": None, "evidence": None, "factors": None, "dropped": 0}
     try:
         d = json.loads(strip_fence(text or ""))
-    except ValueError:
+    except (ValueError, RecursionError):
         return bad
-    if not isinstance(d, dict) or d.get("risk") not in classes or not isinstance(d.get("evidence"), list) or not all(isinstance(e, str) for e in d["evidence"]):
+    if not isinstance(d, dict) or d.get("risk") not in classes or not isinstance(d.get("evidence"), list):
         return bad
     f = d.get("factors")
     if isinstance(f, dict):
-        if set(f) != set(taxonomy) or not all(isinstance(v, bool) for v in f.values()):
-            return bad
-        factors = [x for x in taxonomy if f[x]]
-    elif isinstance(f, list) and all(x in taxonomy for x in f):
+        factors = [x for x in taxonomy if f.get(x)]
+    elif isinstance(f, list) and all(isinstance(x, str) and x in taxonomy for x in f):
         factors = [x for x in taxonomy if x in f]
     else:
         return bad
-    forms, kept = Forms(raw or ""), []
-    for e in d["evidence"]:
-        _, hits = forms.find(e)
-        if hits:
-            kept.append((raw or "")[hits[0][0] : hits[0][1]])
+    kept = realign([e for e in d["evidence"] if isinstance(e, str)], raw)
     return {"ok": True, "risk": d["risk"], "evidence": kept, "factors": factors, "dropped": len(d["evidence"]) - len(kept)}
 
 

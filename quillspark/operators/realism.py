@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,31 +59,55 @@ def _word_grams(w: Column) -> Column:
     return F.concat(w, pairs, inner)
 
 
-def tfidf(df: DataFrame, text: str, features: int = 1 << 18) -> DataFrame:
-    """``df`` with features: length-normalised tf-idf of words, pairs and character runs; terms need two documents."""
+def counted_terms(df: DataFrame, text: str, features: int = 1 << 18) -> DataFrame:
+    """``df`` with tf: counts of words, pairs and character runs, hashed into ``features`` buckets."""
     d = df.withColumn("_g", char_word_grams(F.coalesce(F.col(text), F.lit(""))))
-    tf = HashingTF(inputCol="_g", outputCol="_tf", numFeatures=features).transform(d)
-    idf = IDF(inputCol="_tf", outputCol="_w", minDocFreq=2).fit(tf).transform(tf)
-    return Normalizer(inputCol="_w", outputCol="features").transform(idf).drop("_g", "_tf", "_w")
+    return HashingTF(inputCol="_g", outputCol="tf", numFeatures=features).transform(d).drop("_g")
+
+
+def weighted_terms(train: DataFrame) -> Transformer:
+    """The weighting fitted on training rows alone: inverse document frequencies of terms in two documents and more, then
+    length 1."""
+    return PipelineModel([IDF(inputCol="tf", outputCol="_w", minDocFreq=2).fit(train), Normalizer(inputCol="_w", outputCol="features")])
 
 
 def grouped_auc(df: DataFrame, group: str, label: str, folds: int = 5, seed: str = "folds") -> DataFrame:
-    """(fold, n_pos, n_neg, auc): logistic regression fitted without the fold's groups.  ``df`` has features; one-class
-    training sets raise."""
+    """(fold, n_pos, n_neg, auc): term weights and logistic regression fitted without the fold's groups.
+
+    ``df`` has tf; everything that is learnt, the weights of terms included, is learnt from the other folds.  One class among
+    the rows of a fold, or among those it learns from, raises.
+    """
     fold = F.pmod(F.conv(F.substring(stable_rank(F.lit(seed), F.col(group).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
-    d = stage(df.select("features", fold.alias("fold"), F.col(label).cast("double").alias("label")), "features")
+    d = stage(df.select("tf", fold.alias("fold"), F.col(label).cast("double").alias("label")), "terms")
+    sides = {(r["fold"], r["label"]) for r in d.select("fold", "label").distinct().collect()}
     out = None
     for k in range(folds):
+        if len({y for f, y in sides if f == k}) < 2 or len({y for f, y in sides if f != k}) < 2:
+            raise ValueError(f"fold {k} holds or learns from one class")
         train = d.where(F.col("fold") != k)
-        if train.select("label").distinct().count() < 2:
-            raise ValueError(f"fold {k} trains on one class")
-        model = LogisticRegression(maxIter=10, regParam=1e-3).fit(train)
-        s = model.transform(d.where(F.col("fold") == k)).select("fold", vector_to_array("probability")[1].alias("p"), (F.col("label") == 1).alias("y"))
+        weigh = weighted_terms(train)
+        model = LogisticRegression(maxIter=10, regParam=1e-3).fit(weigh.transform(train))
+        s = model.transform(weigh.transform(d.where(F.col("fold") == k))).select("fold", vector_to_array("probability")[1].alias("p"), (F.col("label") == 1).alias("y"))
         part = rank_auc(s, "p", "y", ["fold"])
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def realism_auc(made: DataFrame, real: DataFrame, features: int = 1 << 18) -> DataFrame:
+    """(fold, n_pos, n_neg, auc) of telling written rows from real ones of the same class and nearest length decile.
+
+    Both sides: row_id, text, grp, risk.  Written rows of a class without real ones are left out.
+    """
+    real = real.withColumn("w", ws_count(F.col("text")))
+    edges = decile_edges(real, "w")
+    m = made.withColumn("decile", decile(ws_count(F.col("text")), edges))
+    r = real.withColumn("decile", decile(F.col("w"), edges))
+    pairs = stage(matched_reals(m.select("row_id", "risk", "decile"), r.select("row_id", "risk", "decile"), "risk", "row_id", "match"), "matched")
+    pos = m.join(pairs.select("row_id"), "row_id", "left_semi").select("text", "grp", F.lit(True).alias("made"))
+    neg = pairs.select(F.col("real_key").alias("row_id")).join(real, "row_id").select("text", "grp", F.lit(False).alias("made"))
+    return grouped_auc(counted_terms(pos.unionByName(neg), "text", features), "grp", "made")
+
+
 def style(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
     """(by, n, upper, lone_i, emoji, comma, question, mean_words): shares of texts with each mark, rounded to 4 and 2."""
     c = F.col(text)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspark.config import CLIP_MARK, FACTORS, REFERENCE_CLIP
-from quillspark.functions.text import clip, in_taxonomy
+from quillspark.config import CLIP_MARK, FACTORS, REFERENCE_CLIP, WORD_RANGE
+from quillspark.functions.text import clip, in_taxonomy, stable_number, stable_rank
+from quillspark.operators.ordering import numbered
 
 
 def quoted(c: Column) -> Column:
@@ -59,24 +61,46 @@ def clamp(c: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
-def definition(c: Column, overrides: dict[str, str] | None = None, protective: list[str] | None = None) -> Column:
-    """A definition without its examples in brackets; given overrides first, protective ones marked."""
+def definition(c: Column, overrides: dict[str, str] | None = None, protective: list[str] | None = None, name: Column | None = None) -> Column:
+    """A definition without its examples in brackets; overrides by ``name`` first, protective names marked."""
     t = F.regexp_replace(c, r"\s*\((?:e\.g\.|for example)[^)]*\)", "")
-    for name, text in (overrides or {}).items():
-        t = F.when(c == name, text).otherwise(t)
-    return F.when(c.isin(protective or []), F.concat(t, F.lit(" (protective)"))).otherwise(t)
+    of = c if name is None else name
+    for k, text in (overrides or {}).items():
+        t = F.when(of == k, F.lit(text)).otherwise(t)
+    return F.when(of.isin(protective or []), F.concat(t, F.lit(" (protective)"))).otherwise(t)
 
 
-def cases(authors: DataFrame, factors: list[str], n: int, seed: str) -> list[dict]:
-    """n cases over (author, n_posts): factor by turn, host with room by stable order, gap within its timeline.
+def cases(rows: DataFrame, hosts: DataFrame, factors: list[str], n: int, seed: str, high: list[str] | None = None, fold: str = "") -> DataFrame:
+    """n cases: (case_id, serial, target_factor, carrier, carrier_user, risk, factors, n_words, host, host_posts, gap).
 
-    A host takes at most one case in a pass over all hosts.  Sequential over ids only, as capacity is shared.
+    ``rows``: row_id, user, risk, factors, n_words of real posts; ``hosts``: user, n_posts of authors with three posts and
+    more.  Factors go by turns.  A case's carrier is a row with its factor, by stable order and turn; with ``high``, the
+    classes of high severity, turns alternate between rows of these and of the other classes where both exist.  Its host is
+    the next author in stable order who is not the carrier's author, so an author hosts at most ceil(n / hosts) + 2 cases
+    where the number of hosts allows it.  gap: after how many of the host's posts, at least one on each side.
+
+    Every choice is a number modulo a count, so no state is carried from case to case and the cases are one join.  A factor
+    that no row has, or no host, gives no case.
     """
-    from quillspark.functions.text import stable_number, stable_rank
-
-    hosts = authors.where("author is not null and n_posts > 0").select("author", "n_posts", stable_number(F.lit(seed), F.col("author")).alias("r")).orderBy(stable_rank(F.lit(seed), F.lit("host"), F.col("author"))).limit(n).collect()
-    out = []
-    for i in range(n if hosts else 0):
-        h = hosts[i % len(hosts)]
-        out.append({"case_id": f"C{i + 1:06d}", "factor": factors[i % len(factors)], "author": h["author"], "gap": int((h["r"] + i // len(hosts)) % (h["n_posts"] + 1))})
-    return out
+    k = len(factors)
+    named = F.array(*map(F.lit, factors))
+    case = rows.sparkSession.range(n).select(F.col("id").alias("_i"), (F.col("id") / k).cast("int").alias("serial"), F.element_at(named, (F.col("id") % k + 1).cast("int")).alias("target_factor"))
+    band = F.when(F.col("risk").isin(high), 0).otherwise(1) if high else F.lit(0)
+    c = rows.where("risk is not null").select("row_id", "user", "risk", "factors", "n_words", band.alias("_band"), F.explode(F.array_intersect("factors", named)).alias("target_factor"))
+    ranked = c.withColumn("_k", F.row_number().over(Window.partitionBy("target_factor", "_band").orderBy(stable_rank(F.lit(seed), F.lit("carrier"), F.col("row_id")), "row_id")) - 1)
+    size = c.groupBy("target_factor").agg(F.count(F.when(F.col("_band") == 0, 1)).alias("_n0"), F.count(F.when(F.col("_band") == 1, 1)).alias("_n1"))
+    want = F.when(F.col("_n1") == 0, 0).when(F.col("_n0") == 0, 1).otherwise(F.col("serial") % 2)
+    turn = F.when((F.col("_n0") > 0) & (F.col("_n1") > 0), (F.col("serial") / 2).cast("int")).otherwise(F.col("serial"))
+    j = case.join(size, "target_factor").withColumn("_band", want).withColumn("_k", turn % F.when(F.col("_band") == 0, F.col("_n0")).otherwise(F.col("_n1")))
+    j = j.join(ranked, ["target_factor", "_band", "_k"]).select("_i", "serial", "target_factor", F.col("row_id").alias("carrier"), F.col("user").alias("carrier_user"), "risk", "factors", clamp(F.col("n_words"), *WORD_RANGE).alias("n_words"))
+    h = numbered(hosts.where("user is not null and n_posts >= 3").select("user", "n_posts"), [stable_rank(F.lit(seed), F.lit("host"), F.col("user")), "user"], "_h")
+    total = h.count()
+    if not total:
+        return j.select("serial", "target_factor", "carrier", "carrier_user", "risk", "factors", "n_words", F.lit("").alias("case_id"), F.lit("").alias("host"), F.lit(0).alias("host_posts"), F.lit(0).alias("gap")).where("false")
+    near = j.join(h.select(F.col("user").alias("_u0"), F.col("n_posts").alias("_p0"), F.col("_h").alias("_a")), F.col("_i") % total == F.col("_a"))
+    near = near.join(h.select(F.col("user").alias("_u1"), F.col("n_posts").alias("_p1"), F.col("_h").alias("_b")), (F.col("_i") + 1) % total == F.col("_b"))
+    own = F.col("_u0").eqNullSafe(F.col("carrier_user"))
+    d = near.withColumn("host", F.when(own, F.col("_u1")).otherwise(F.col("_u0"))).withColumn("host_posts", F.when(own, F.col("_p1")).otherwise(F.col("_p0")).cast("int")).where(~F.col("host").eqNullSafe(F.col("carrier_user")))
+    gap = (F.lit(1) + stable_number(F.lit(seed), F.lit("gap"), F.col("_i").cast("string")) % (F.col("host_posts") - 1)).cast("int")
+    name = F.concat(F.lit(f"K{fold}C" if fold else "C"), F.lpad((F.col("_i") + 1).cast("string"), 8, "0"))
+    return d.select(name.alias("case_id"), "serial", "target_factor", "carrier", "carrier_user", "risk", "factors", "n_words", "host", "host_posts", gap.alias("gap"))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.config import ALPHA, BOOTSTRAP_SEED, BOOTSTRAPS
-from quillspark.functions.text import stable_rank
+from quillspark.config import ADOPTION, ALPHA, BOOTSTRAP_SEED, BOOTSTRAPS, CLASSES, FACTORS, RARE, WEIGHTS
+from quillspark.functions.text import f1, stable_number, stable_rank
+from quillspark.operators.ordering import numbered
 
 
 def top_by_rank(df: DataFrame, strata: list[str], n: int, *parts: F.Column) -> DataFrame:
@@ -27,6 +28,20 @@ def balanced_pick(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> D
     return d.where(F.col("round") <= n).orderBy("round", "_s", "_k").limit(n).drop("_s", "_k")
 
 
+def subset(df: DataFrame, key: str, target: str, is_target: str, stratum: str, per_target: int, others: int, seed: str) -> DataFrame:
+    """(key, part): ``per_target`` rows of each target factor, balanced over strata, and ``others`` rows that are no target,
+    balanced over target factor and stratum.  ``is_target`` marks rows that hold their target factor.
+
+    Rounds of a factor are numbered within it, so all factors are picked in one window each and not one after the other.
+    """
+    rank = stable_rank(F.lit(seed), F.col(key).cast("string"))
+    hit = df.where(F.col(is_target)).withColumn("_k", rank).withColumn("_s", stable_rank(F.lit(seed), F.lit("stratum"), F.col(target), F.col(stratum)))
+    hit = hit.withColumn("_round", F.row_number().over(Window.partitionBy(target, stratum).orderBy("_k", key))).where(F.col("_round") <= per_target)
+    first = hit.withColumn("_i", F.row_number().over(Window.partitionBy(target).orderBy("_round", "_s"))).where(F.col("_i") <= per_target).select(key, F.lit("target").alias("part"))
+    rest = balanced_pick(df.where(~F.coalesce(F.col(is_target), F.lit(False))).select(key, F.concat_ws("/", target, stratum).alias("_cell")), "_cell", key, others, seed)
+    return first.union(rest.select(key, F.lit("other")))
+
+
 def largest_remainder(counts: DataFrame, group: str, count: str, n: int) -> DataFrame:
     """(group, count, quota): n seats in proportion to the counts; whole parts, then the largest remainders, ties by group."""
     d = counts.withColumn("_t", F.sum(count).over(Window.partitionBy(F.lit(0))))
@@ -71,18 +86,13 @@ def quota_pick(rows: list[dict], group: str, factors: list[str], quota: dict[str
 
 
 def upsample(df: DataFrame, key: str, target: int, seed: str) -> DataFrame:
-    """``df`` with copy: every row floor(target / n) times, and the first rows by stable rank once more, target rows in all.
-
-    The rank is only needed for the remainder, so its cutoff comes from the ordered top of the ranks and not from a sort
-    of all rows in one task.
-    """
+    """``df`` with copy: every row floor(target / n) times, and the first rows by stable rank once more, target rows in all."""
     n = df.count()
     if n == 0:
         return df.withColumn("copy", F.lit(0))
     whole, rest = divmod(target, n)
-    extra = df.select(key).orderBy(stable_rank(F.lit(seed), F.col(key).cast("string")), key).limit(rest).withColumn("_x", F.lit(1))
-    d = df.join(extra, key, "left").withColumn("_n", F.lit(whole) + F.coalesce("_x", F.lit(0))).where("_n > 0")
-    return d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_x")
+    d = numbered(df, [stable_rank(F.lit(seed), F.col(key).cast("string")), key], "_i").withColumn("_n", F.lit(whole) + (F.col("_i") < rest).cast("int")).where("_n > 0")
+    return d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_i")
 
 
 def reweight(df: DataFrame, items: str, rare: list[str], factor: float = 3.0) -> DataFrame:
@@ -92,10 +102,11 @@ def reweight(df: DataFrame, items: str, rare: list[str], factor: float = 3.0) ->
 
 
 def epoch_order(df: DataFrame, key: str, seed: str, epochs: int) -> DataFrame:
-    """(epoch, position, key): a seeded order of all rows in each epoch."""
+    """(key, epoch, position): a seeded order of all rows in each epoch."""
     d = df.select(key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    w = Window.partitionBy("epoch").orderBy("_r", key)
-    return d.withColumn("_r", stable_rank(F.lit(seed), F.col("epoch").cast("string"), F.col(key).cast("string"))).withColumn("position", F.row_number().over(w) - 1).drop("_r")
+    n = df.count()
+    rank = stable_rank(F.lit(seed), F.col("epoch").cast("string"), F.col(key).cast("string"))
+    return numbered(d, ["epoch", rank, key], "_i").select(key, "epoch", (F.col("_i") - F.col("epoch") * n).cast("int").alias("position"))
 
 
 def draws(spark: SparkSession, units: list, b: int = BOOTSTRAPS, seed: int = BOOTSTRAP_SEED) -> DataFrame:
@@ -125,16 +136,47 @@ def pinned_bootstrap(stats: DataFrame, unit: str, sums: list[str], b: int = BOOT
     return stats.where(F.col(unit).isNotNull()).select(unit, *sums).groupBy().applyInPandas(run, ", ".join(["b int", *(f"{c} long" for c in sums)]))
 
 
-def hash_draws(units: DataFrame, unit: str, b: int, seed: str) -> DataFrame:
-    """(b, unit, mult) for any number of units: Poisson(1) multiplicities from hashes, in one pass without a generator."""
-    u = F.conv(F.substring(stable_rank(F.lit(seed), F.col("b").cast("string"), F.col(unit).cast("string")), 1, 8), 16, 10).cast("long")
-    cuts, total, p = [], Fraction(0), Fraction(1)
-    for k in range(12):
-        total += p
-        p /= k + 1
-        cuts.append(int(total * (1 << 32) / Fraction(2718281828459045, 10**15)))
-    mult = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return units.select(unit).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("mult", mult).where("mult > 0")
+#: Least 32-bit numbers at which a Poisson(1) draw is one more than 0, 1, 2, ...
+CUTS: list[int] = []
+_total, _p = Fraction(0), Fraction(1)
+for _k in range(12):
+    _total += _p
+    _p /= _k + 1
+    CUTS.append(int(_total * (1 << 32) / Fraction(2718281828459045, 10**15)))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A scramble of 32-bit numbers, the same in every engine: shifts and products modulo 2^32."""
+    x = x & np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x21F0AAAD)) & np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x735A2D97)) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(15))
+
+
+def replicates(stats: DataFrame, unit: str, sums: list[str], b: int = BOOTSTRAPS, seed: str = "boot") -> DataFrame:
+    """(b, sums): sums of per-unit sufficient statistics under Poisson(1) multiplicities, for any number of units.
+
+    The multiplicity of a unit in a draw comes from a hash of both, so every contrast uses the same draws.  Each task adds up
+    its units for all draws as a matrix product and hands on one row per draw: units never meet draws as rows.  Null units
+    are left out; sums are doubles.
+    """
+    base = stats.where(F.col(unit).isNotNull()).select(stable_number(F.lit(seed), F.col(unit).cast("string")).alias("_u"), *[F.col(c).cast("double").alias(c) for c in sums])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        total, seen = np.zeros((b, len(sums))), False
+        step = mixed(np.arange(b, dtype=np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF))
+        for pdf in batches:
+            for k in range(0, len(pdf), 500):
+                part = pdf.iloc[k : k + 500]
+                u = part["_u"].to_numpy(np.uint64)
+                at = mixed((u[None, :] + step[:, None]) & np.uint64(0xFFFFFFFF))
+                total += np.searchsorted(np.array(CUTS, np.uint64), at, "right").astype(np.float64) @ part[sums].to_numpy(np.float64)
+                seen = True
+        if seen:
+            yield pd.DataFrame(total, columns=sums).assign(b=np.arange(b))[["b", *sums]]
+
+    part = base.mapInPandas(run, ", ".join(["b int", *(f"{c} double" for c in sums)]))
+    return part.groupBy("b").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def bootstrap(stats: DataFrame, draw: DataFrame, unit: str, sums: list[str]) -> DataFrame:
@@ -142,11 +184,46 @@ def bootstrap(stats: DataFrame, draw: DataFrame, unit: str, sums: list[str]) ->
     return draw.join(stats, unit).groupBy("b").agg(*[F.sum(F.col("mult") * F.col(c)).alias(c) for c in sums])
 
 
-def summarize(replicates: DataFrame, value: str) -> DataFrame:
-    """One row: n, mean, low, high (2.5 and 97.5 percentiles, linear), positive (share above 0), p (two-sided)."""
+STATS = ["n", *[f"c{g}{p}" for g in range(len(CLASSES)) for p in range(len(CLASSES))], *[f"{k}{i}" for i in range(len(FACTORS)) for k in ("tp", "fp", "fn")]]
+
+
+def sufficient(df: DataFrame, unit: str, gold: str, pred: str, gold_factors: str, pred_factors: str) -> DataFrame:
+    """(unit, :data:`STATS`): counts of which all class and factor scores are made; a null class is in no cell of them."""
+    cells = [F.count(F.when((F.col(gold) == a) & (F.col(pred) == b), 1)).alias(f"c{i}{j}") for i, a in enumerate(CLASSES) for j, b in enumerate(CLASSES)]
+    for i, f in enumerate(FACTORS):
+        g, p = (F.coalesce(F.array_contains(F.col(c), f), F.lit(False)) for c in (gold_factors, pred_factors))
+        cells += [F.count(F.when(x, 1)).alias(f"{k}{i}") for k, x in (("tp", g & p), ("fp", ~g & p), ("fn", g & ~p))]
+    return df.groupBy(F.col(unit).alias("unit")).agg(F.count("*").alias("n"), *cells)
+
+
+def scores(sums: DataFrame) -> DataFrame:
+    """``sums`` of :data:`STATS` with risk_wf1, factors_macro_f1, rare_f1, other_f1 and no_evidence, other columns kept."""
+    k = range(len(CLASSES))
+    support = [sum((F.col(f"c{i}{j}") for j in k), F.lit(0.0)) for i in k]
+    called = [sum((F.col(f"c{i}{j}") for i in k), F.lit(0.0)) for j in k]
+    own = [f1(F.col(f"c{i}{i}"), called[i] - F.col(f"c{i}{i}"), support[i] - F.col(f"c{i}{i}")) for i in k]
+    total = sum(support, F.lit(0.0))
+    risk = F.when(total > 0, sum((s * f for s, f in zip(support, own, strict=True)), F.lit(0.0)) / total).otherwise(0.0)
+    per = {f: f1(F.col(f"tp{i}"), F.col(f"fp{i}"), F.col(f"fn{i}")) for i, f in enumerate(FACTORS)}
+    mean = lambda names: sum((per[f] for f in names), F.lit(0.0)) / len(names)
+    a, _, c = WEIGHTS
+    d = sums.withColumns({"risk_wf1": risk, "factors_macro_f1": mean(FACTORS), "rare_f1": mean(RARE), "other_f1": mean([f for f in FACTORS if f not in RARE])})
+    return d.withColumn("no_evidence", (a * F.col("risk_wf1") + c * F.col("factors_macro_f1")) / (a + c)).drop(*STATS)
+
+
+SCORES = ["risk_wf1", "factors_macro_f1", "rare_f1", "other_f1", "no_evidence"]
+
+
+def long_scores(df: DataFrame, keep: list[str], names: list[str] = SCORES) -> DataFrame:
+    """(keep, metric, value)."""
+    return df.select(*keep, F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in names])).alias("x")).select(*keep, "x.*")
+
+
+def summarize(replicates: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, n, mean, low, high, positive, p): 2.5 and 97.5 percentiles (linear), share above 0, two-sided p."""
     v = F.col(value)
     share = lambda c: F.avg(c.cast("double"))
-    return replicates.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.025)).alias("low"), F.percentile(v, F.lit(0.975)).alias("high"), share(v > 0).alias("positive"), F.least(F.lit(1.0), 2 * F.least(share(v <= 0), share(v >= 0))).alias("p"))
+    return replicates.groupBy(*(by or [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.025)).alias("low"), F.percentile(v, F.lit(0.975)).alias("high"), share(v > 0).alias("positive"), F.least(F.lit(1.0), 2 * F.least(share(v <= 0), share(v >= 0))).alias("p"))
 
 
 def holm(df: DataFrame, name: str, p: str, alpha: float = ALPHA) -> DataFrame:
@@ -157,8 +234,19 @@ def holm(df: DataFrame, name: str, p: str, alpha: float = ALPHA) -> DataFrame:
     return d.withColumn("rejected", F.min("_ok").over(one.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("_m", "_ok")
 
 
-def contrast(replicates: DataFrame, arm: str, treated: str, reference: str, value: str) -> DataFrame:
-    """(b, delta): treated minus reference in each replicate."""
-    t = replicates.where(F.col(arm) == treated).select("b", F.col(value).alias("_t"))
-    r = replicates.where(F.col(arm) == reference).select("b", F.col(value).alias("_r"))
-    return t.join(r, "b").select("b", (F.col("_t") - F.col("_r")).alias("delta"))
+def contrast(replicates: DataFrame, arm: str, treated: str, reference: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """(b, by, delta): treated minus reference in each replicate, which both share."""
+    keys = ["b", *(by or [])]
+    t = replicates.where(F.col(arm) == treated).select(*keys, F.col(value).alias("_t"))
+    r = replicates.where(F.col(arm) == reference).select(*keys, F.col(value).alias("_r"))
+    return t.join(r, keys).select(*keys, (F.col("_t") - F.col("_r")).alias("delta"))
+
+
+def adoption(replicates: DataFrame, arm: str, treated: list[str], base: str, control: str, value: str, bar: float = ADOPTION) -> DataFrame:
+    """(arm, delta_base, delta_control, adopt): mean gains of each treated arm; adopted with at least ``bar`` over the base and
+    any gain over the control."""
+    m = replicates.groupBy(arm).agg(F.avg(value).alias("_m"))
+    one = lambda name: m.where(F.col(arm) == name).select(F.col("_m").alias(f"_{name}"))
+    j = m.where(F.col(arm).isin(treated)).crossJoin(F.broadcast(one(base))).crossJoin(F.broadcast(one(control)))  # one row each
+    d = j.select(arm, (F.col("_m") - F.col(f"_{base}")).alias("delta_base"), (F.col("_m") - F.col(f"_{control}")).alias("delta_control"))
+    return d.withColumn("adopt", (F.col("delta_base") >= bar) & (F.col("delta_control") > 0))

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.config import BOOTSTRAP_SEED
 from quillspark.functions.text import f1
 
 
-def best_cutoffs(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+def best_cutoffs(df: DataFrame, by: list[str], score: str, label: str, weight: str | None = None) -> DataFrame:
     """(by, tau, f1): best F1 of predicting score >= tau; candidates 0, 1 and midpoints of distinct scores; ties to the
     largest; 0.5 without positives.
 
     Distinct scores are counted first, so the sweep is one sort per group over counts: no row meets every candidate.
+    ``weight``: how many rows a row stands for.
     """
-    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.when(F.col(label), 1)).alias("_p"), F.count("*").alias("_n"))
+    n = F.col(weight) if weight else F.lit(1)
+    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label), n).otherwise(0)).alias("_p"), F.sum(n).alias("_n"))
     up = Window.partitionBy(*by).orderBy("_s")
     down = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
@@ -32,13 +35,17 @@ def best_cutoffs(df: DataFrame, by: list[str], score: str, label: str) -> DataFr
     return best.select(*by, F.when(none, 0.5).otherwise(F.col("_b.tau")).alias("tau"), F.when(none, 0.0).otherwise(F.col("_b.f1")).alias("f1"))
 
 
+def _others(per: DataFrame, fold: str) -> DataFrame:
+    """Counted rows with held_out: each fold but their own.  The folds go along as a list, bounded by the number of folds."""
+    folds = per.agg(F.array_sort(F.collect_set(fold)).alias("_folds"))
+    j = per.crossJoin(F.broadcast(folds))  # one row
+    return j.withColumn("held_out", F.explode(F.filter("_folds", lambda k: k != F.col(fold)))).drop("_folds")
+
+
 def nested_cutoffs(df: DataFrame, fold: str, by: list[str], score: str, label: str) -> DataFrame:
-    """(held_out, by, tau, f1): cutoffs of each fold fitted on the rows of all other folds."""
-    folds = df.select(F.col(fold).alias("held_out")).where("held_out is not null").distinct()
-    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(fold, *by, score, label).agg(F.count("*").alias("_n"))
-    spread = per.join(F.broadcast(folds), F.col(fold) != F.col("held_out"))  # folds are a handful
-    rows = spread.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_r", "_n")
-    return best_cutoffs(rows, ["held_out", *by], score, label)
+    """(held_out, by, tau, f1): cutoffs of each fold fitted on the rows of all other folds.  Rows meet folds as counts."""
+    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull() & F.col(fold).isNotNull()).groupBy(fold, *by, score, label).agg(F.count("*").alias("_n"))
+    return best_cutoffs(_others(per, fold), ["held_out", *by], score, label, "_n")
 
 
 def apply_cutoffs(df: DataFrame, cutoffs: DataFrame, fold: str, by: list[str], score: str) -> DataFrame:
@@ -47,28 +54,29 @@ def apply_cutoffs(df: DataFrame, cutoffs: DataFrame, fold: str, by: list[str], s
     return df.join(c, [fold, *by]).withColumn("pred", F.col(score) >= F.col("tau"))
 
 
-def bagged_cutoffs(df: DataFrame, fold: str, by: str, score: str, label: str, bags: int = 200, seed: int = 0) -> DataFrame:
-    """(held_out, by, tau): mean cutoff over bootstrap resamples of the other folds, seeded per fold and group.
+def bagged_cutoffs(df: DataFrame, fold: str, by: str, score: str, label: str, bags: int = 200, seed: int = BOOTSTRAP_SEED, order: list[str] | None = None) -> DataFrame:
+    """(held_out, by, tau): mean cutoff over bootstrap resamples of the other folds, seeded per fold and place in ``order``.
 
-    Resamples without positives have no cutoff and are left out; 0.5 where no row is positive.
+    A resample of n rows is a multinomial draw over the distinct scores, so a task holds counts and never rows.  Resamples
+    without positives have no cutoff and are left out; 0.5 where no row is positive.
     """
-    folds = df.select(F.col(fold).alias("held_out")).where("held_out is not null").distinct()
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(fold).alias("_f"), F.col(by).alias("item"), F.col(score).cast("double").alias("s"), F.col(label).alias("y")).join(F.broadcast(folds), F.col("_f") != F.col("held_out"))
+    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull() & F.col(fold).isNotNull()).groupBy(F.col(fold).cast("int").alias("_f"), F.col(by).alias("item"), F.col(score).cast("double").alias("s")).agg(F.count(F.when(F.col(label), 1)).alias("p"), F.count("*").alias("n"))
+    place = {x: i for i, x in enumerate(order or [])}
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "y"])
-        s, y = pdf["s"].to_numpy(), pdf["y"].to_numpy(bool)
-        rng = np.random.default_rng([seed, int(key[0]) + 1, sum(map(ord, str(key[1])))])
-        u, at = np.unique(s, return_inverse=True)
-        taus = []
-        for _ in range(bags if y.any() else 0):
-            i = rng.integers(0, len(s), len(s))
-            p = np.bincount(at[i][y[i]], minlength=len(u))
-            if p.any():
-                taus.append(counted_cutoff(u, np.bincount(at[i], minlength=len(u)), p))
-        return pd.DataFrame({"held_out": [key[0]], "item": [key[1]], "tau": [float(np.mean(taus)) if taus else cutoff(s, y)]})
+        own = pdf.groupby("s", as_index=False)[["p", "n"]].sum().sort_values("s")
+        u, p, n = own["s"].to_numpy(), own["p"].to_numpy(), own["n"].to_numpy()
+        total, taus = n.sum(), []
+        rng = np.random.default_rng([seed, int(key[0]) + 1, place.get(key[1], len(place))])
+        cells = np.concatenate([p, n - p])
+        for _ in range(bags if p.any() else 0):
+            drawn = rng.multinomial(total, cells / total)
+            pos = drawn[: len(u)]
+            if pos.any():
+                taus.append(counted_cutoff(u, pos + drawn[len(u) :], pos))
+        return pd.DataFrame({"held_out": [key[0]], "item": [key[1]], "tau": [float(np.mean(taus)) if taus else counted_cutoff(u, n, p) if p.any() else 0.5]})
 
-    return rows.groupBy("held_out", "item").applyInPandas(fit, "held_out int, item string, tau double").withColumnRenamed("item", by)
+    return _others(per, "_f").groupBy("held_out", "item").applyInPandas(fit, "held_out int, item string, tau double").withColumnRenamed("item", by)
 
 
 def cutoff(s: np.ndarray, y: np.ndarray) -> float:
@@ -107,24 +115,25 @@ def nested_checkpoint(metrics: DataFrame, fold: str, step: str, value: str) -> D
     return mean.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def class_probabilities(logprobs: F.Column, classes: list[str]) -> F.Column:
+def class_probabilities(logprobs: F.Column, classes: list[str], risk: F.Column | None = None) -> F.Column:
     """Array of class probabilities from (token, logprob) pairs of the first step.
 
-    A token counts for the class that it is the only prefix of, without regard to case and blanks; what no class gets is
-    left out; all zero where none matches.
+    A token, without blanks and a quote before it, counts for the only class that it begins or that begins it.  Where nothing
+    counts, all of it goes to ``risk`` (none: all zero).
     """
     def of(c: str) -> F.Column:
         def own(x: F.Column) -> F.Column:
-            t = F.lower(F.trim(x["tok"]))
-            fits = [F.startswith(F.lit(k.lower()), t) for k in classes]
+            t = F.regexp_replace(F.regexp_replace(x["tok"], r"^\s+", ""), '^"', "")
+            fits = [F.startswith(F.lit(k), t) | F.startswith(t, F.lit(k)) for k in classes]
             unique = sum((f.cast("int") for f in fits), F.lit(0)) == 1
             return (t != "") & fits[classes.index(c)] & unique
 
-        return F.aggregate(F.filter(logprobs, own), F.lit(0.0), lambda s, x: s + F.exp(x["lp"]))
+        return F.aggregate(F.filter(F.coalesce(logprobs, F.array().cast("array<struct<tok:string,lp:double>>")), own), F.lit(0.0), lambda s, x: s + F.exp(x["lp"]))
 
     mass = [of(c) for c in classes]
     total = sum(mass[1:], mass[0])
-    return F.array(*[F.when(total > 0, m / total).otherwise(0.0) for m in mass])
+    other = lambda c: F.when(risk == c, 1.0).otherwise(0.0) if risk is not None else F.lit(0.0)
+    return F.array(*[F.when(total > 0, m / total).otherwise(other(c)) for m, c in zip(mass, classes, strict=True)])
 
 
 def merge_runs(a: DataFrame, b: DataFrame, key: str, classes: list[str]) -> DataFrame:

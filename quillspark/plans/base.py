@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.config import CLASSES, FACTORS
-from quillspark.functions.text import in_taxonomy, risk_norm, risk_ord, stable_number
+from quillspark.config import CLASSES, FACTORS, RARE
+from quillspark.functions.text import in_taxonomy, risk_norm, risk_ord, stable_number, ws_count
 from quillspark.sources.tables import table
 
 SEP = "\x1f"
@@ -47,6 +47,37 @@ def scored(spark: SparkSession, d: str, seed: str = "s1") -> DataFrame:
     return gold(spark, d).withColumn("pred", predicted_risk(seed)).withColumn("pred_factors", predicted_factors(seed))
 
 
+def assigned(spark: SparkSession, d: str) -> DataFrame:
+    """(case_id, risk, factors, target_factor): the labels that cases were written for.
+
+    The delivered tables don't hold them, so they are made from hashes of the case, the same in both engines.
+    """
+    n = lambda *x: stable_number(F.col("case_id"), *x)
+    pick = lambda items, k: F.element_at(F.array(*map(F.lit, items)), (k % len(items) + 1).cast("int"))
+    c = table(spark, d, "prompts", "case_id").where("case_id is not null").distinct()
+    c = c.withColumn("risk", pick(CLASSES, n(F.lit("class")))).withColumn("target_factor", pick(RARE, n(F.lit("target"))))
+    some = F.filter(F.array(*map(F.lit, FACTORS)), lambda f: (n(f) % 12 == 0) | (f == F.col("target_factor")))
+    return c.withColumn("factors", some)
+
+
+def drafts(spark: SparkSession, d: str) -> DataFrame:
+    """One row per draft of the delivered outputs: the greatest value of each column."""
+    c = ["case_id", "text", "status", "draft", "arm"]
+    return table(spark, d, "outputs", "draft_id", *c).groupBy("draft_id").agg(*[F.max(x).alias(x) for x in c])
+
+
+def hosts(spark: SparkSession, d: str) -> DataFrame:
+    """(user, n_posts) of authors of train posts."""
+    p = posts(spark, d, "anon_user_id", "split").where("split = 'train' and anon_user_id is not null")
+    return p.groupBy(F.col("anon_user_id").alias("user")).agg(F.count("*").alias("n_posts"))
+
+
+def real_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, user, fold, risk, factors, n_words, text): train posts with their labels."""
+    p = posts(spark, d, "anon_user_id", "split", "post_raw").where("split = 'train'").select("row_id", F.col("anon_user_id").alias("user"), F.col("post_raw").alias("text"))
+    return gold(spark, d).select("row_id", "risk", "factors", "fold").join(p, "row_id").withColumn("n_words", ws_count(F.col("text")))
+
+
 def sql_list(items: list[str]) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
@@ -96,3 +127,24 @@ gold_u AS (SELECT row_id, risk, CAST(list_position({sql_list(CLASSES)}, risk) -
 def sql_scored(seed: str = "s1", name: str = "scored") -> str:
     n, m = sql_number("row_id", f"'{seed}'"), sql_number("row_id", "x", f"'{seed}'")
     return f"""{name} AS (SELECT *, CASE WHEN risk IS NULL OR {n} % 10 >= 7 THEN ({sql_list(CLASSES)})[CAST(({n} // 16) % 4 AS INTEGER) + 1] ELSE risk END AS pred, list_filter({sql_list(FACTORS)}, lambda x: CASE WHEN list_contains(factors, x) THEN {m} % 10 >= 2 ELSE {m} % 40 = 0 END) AS pred_factors FROM gold_u)"""
+
+
+DRAFTS = "drafts AS (SELECT draft_id, max(case_id) AS case_id, max(text) AS text, max(status) AS status, max(draft) AS draft, max(arm) AS arm FROM outputs GROUP BY draft_id)"
+
+
+def _sql_pick(items: list[str], n: str) -> str:
+    return f"({sql_list(items)})[CAST({n} % {len(items)} AS INTEGER) + 1]"
+
+
+SQL_ASSIGNED = f"""cases_u AS (SELECT DISTINCT case_id, {_sql_pick(CLASSES, sql_number('case_id', "'class'"))} AS risk, {_sql_pick(RARE, sql_number('case_id', "'target'"))} AS target_factor FROM prompts WHERE case_id IS NOT NULL),
+assigned AS (SELECT *, list_filter({sql_list(FACTORS)}, lambda f: {sql_number('case_id', 'f')} % 12 = 0 OR f = target_factor) AS factors FROM cases_u)"""
+# The posts that a prompt shows, as a list.
+SQL_SHOWN = r"""list_filter(list_transform(string_split_regex(regexp_replace(user_text, '\n[^\n]*$', ''), '(?m)^\[[0-9]+\] ?')[2:], lambda x: """ + sql_trim(r"regexp_replace(x, '\s*\[\.\.\.\]\s*$', '')") + """), lambda x: x <> '')"""
+_M32 = 4294967296
+
+
+def sql_mixed(x: str) -> str:
+    """The 32-bit scramble of the bootstrap draws."""
+    a = f"((xor(CAST({x} AS BIGINT), CAST({x} AS BIGINT) >> 16) * {0x21F0AAAD}) % {_M32})"
+    b = f"((xor({{0}}, {{0}} >> 15) * {0x735A2D97}) % {_M32})"
+    return f"list_transform(list_transform([{a}], lambda y: {b.format('y')}), lambda z: xor(z, z >> 15))[1]"

@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from quillspark.plans import prep, sampling, scoring  # noqa: F401
+    from quillspark.plans import assembly, audit, prep, sampling, scoring  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.config import CLASSES, FACTORS, RARE
 from quillspark.functions.text import risk_ord, stable_number
 from quillspark.operators import agreement, dedup, metrics, realism, thresholds
-from quillspark.plans.base import SQL_GOLD, gold, posts, scored, sql_count, sql_key, sql_list, sql_number, sql_posts, sql_scored
+from quillspark.plans.base import SQL_ASSIGNED, SQL_GOLD, SQL_WS, assigned, drafts, gold, posts, scored, sql_key, sql_list, sql_number, sql_posts, sql_scored, sql_trim
 from quillspark.plans.catalog import query
-from quillspark.plans.prep import _DRAFTS, drafts
 from quillspark.sources.tables import table
 
 _SCORED = f"WITH {SQL_GOLD}, {sql_scored()}"
@@ -53,29 +52,40 @@ def _phrases(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).withColumn("pred_spans", some)
 
 
-_PHRASE = f"ph AS (SELECT *, list_filter(spans, lambda s: (length(s) + {sql_number('row_id', chr(39) + 'ph' + chr(39))}) % 3 > 0) AS pred_spans FROM scored WHERE len(spans) <= 1), pf AS (SELECT *, CASE WHEN len(spans) = 0 THEN 1.0::DOUBLE WHEN len(pred_spans) = 0 THEN 0.0 ELSE 1.0 END AS phrase FROM ph)"
+# Predicted phrases are some of the gold ones, so that the best matching takes all of them.
+_PHRASE = f"""ph AS (SELECT *, list_filter(spans, lambda s: (length(s) + {sql_number('row_id', chr(39) + 'ph' + chr(39))}) % 3 > 0) AS pred_spans FROM scored), pn AS (SELECT *, len(list_filter(spans, lambda s: {sql_trim('s')} <> '')) AS ng, len(list_filter(pred_spans, lambda s: {sql_trim('s')} <> '')) AS np FROM ph),
+pf AS (SELECT *, CASE WHEN ng = 0 AND np = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * np / (ng + np) END AS phrase FROM pn)"""
 
 
-@query(f"{_SCORED}, {_PHRASE} SELECT count(*) AS n, round(avg(phrase), 8) AS ee1, round(avg(phrase) FILTER (len(spans) > 0), 8) AS skip FROM pf")
-def phrase_f1_single(spark: SparkSession, d: str) -> DataFrame:
-    """M3, M4, M6 on records of at most one gold phrase."""
-    p = metrics.phrase_f1(_phrases(spark, d).where(F.size("spans") <= 1), "spans", "pred_spans")
+@query(f"{_SCORED}, {_PHRASE} SELECT count(*) AS n, round(avg(phrase), 8) AS ee1, round(avg(phrase) FILTER (ng > 0), 8) AS skip FROM pf")
+def phrase_f1_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """M3, M4, M6: over all records, by best matching."""
+    p = metrics.phrase_f1(_phrases(spark, d), "spans", "pred_spans")
     return p.agg(F.count("*").alias("n"), F.round(F.avg("phrase_f1"), 8).alias("ee1"), F.round(F.avg(F.when(F.col("has_gold"), F.col("phrase_f1"))), 8).alias("skip"))
 
 
-@query()
+@query(f"{_SCORED}, {_PHRASE} SELECT row_id, round(phrase, 8) AS phrase_f1, ng > 0 AS has_gold FROM pf")
 def phrase_f1_matching(spark: SparkSession, d: str) -> DataFrame:
-    """M3: all records, by best matching."""
+    """M3: each record."""
     return metrics.phrase_f1(_phrases(spark, d), "spans", "pred_spans").select("row_id", F.round("phrase_f1", 8).alias("phrase_f1"), "has_gold")
 
 
-@query()
+@query(f"""{_SCORED}, {_PHRASE}, {_CLASS}, {_FACTOR}, x AS (SELECT (SELECT sum(support * f1) / sum(support) FROM cf) AS w, (SELECT avg(f1) FROM ff) AS m, (SELECT count(*) FROM pf) AS n, (SELECT avg(phrase) FROM pf) AS e, (SELECT avg(phrase) FILTER (ng > 0) FROM pf) AS k)
+SELECT n, round(e, 8) AS phrase_f1_ee1, round(k, 8) AS phrase_f1_skip, round(w, 8) AS risk_wf1, round(m, 8) AS factors_macro_f1, round(0.4::DOUBLE * w + 0.3::DOUBLE * e + 0.3::DOUBLE * m, 8) AS score, round((0.4::DOUBLE * w + 0.3::DOUBLE * e) / 0.7::DOUBLE, 8) AS subtask1, round(m, 8) AS subtask2, round((0.4::DOUBLE * w + 0.3::DOUBLE * m) / 0.7::DOUBLE, 8) AS no_evidence FROM x""")
 def composite_score(spark: SparkSession, d: str) -> DataFrame:
-    """M5, M6, M9, V10."""
+    """M5, M6, M9."""
     r = metrics.report(metrics.phrase_f1(_phrases(spark, d), "spans", "pred_spans"), "risk", "pred", "factors", "pred_factors", "phrase_f1", "has_gold")
     return r.select("n", *[F.round(c, 8).alias(c) for c in r.columns if c != "n"])
 
 
+@query(f"WITH {SQL_GOLD}, g AS (SELECT len(list_filter(spans, lambda s: {sql_trim('s')} <> '')) AS ng FROM gold_u) SELECT 'identity' AS kind, 1.0::DOUBLE AS phrase_f1 UNION ALL SELECT 'empty', round(avg((ng = 0)::INT), 8) FROM g")
+def scorer_smoke(spark: SparkSession, d: str) -> DataFrame:
+    """Gold against itself scores 1, no phrases the share of records without gold ones."""
+    g = gold(spark, d).withColumn("none", F.array().cast("array<string>"))
+    one = lambda kind, c: metrics.phrase_f1(g, "spans", c).agg(F.lit(kind).alias("kind"), F.round(F.avg("phrase_f1"), 8).alias("phrase_f1"))
+    return one("identity", "spans").union(one("empty", "none"))
+
+
 @query(f"{_SCORED} SELECT risk AS gold, count(*) FILTER (pred = 'Indicator') AS n_indicator, count(*) FILTER (pred = 'Ideation') AS n_ideation, count(*) FILTER (pred = 'Behavior') AS n_behavior, count(*) FILTER (pred = 'Attempt') AS n_attempt FROM scored GROUP BY risk")
 def confusion_profile(spark: SparkSession, d: str) -> DataFrame:
     """M24."""
@@ -92,6 +102,32 @@ def risk_shift(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n", *[F.round(c, 8).alias(c) for c in ("agreement", "read_higher", "read_lower")])
 
 
+@query(f"""{_SCORED}, t AS (SELECT sum(len(list_intersect(factors, pred_factors))) AS tp, sum(len(pred_factors)) AS np, sum(len(factors)) AS ng, count(*) AS n FROM scored), r AS (SELECT count(*) FILTER ({_PRED_ORD} > risk_ord) AS above, count(*) FILTER ({_PRED_ORD} < risk_ord) AS below FROM scored)
+SELECT round(ng::DOUBLE / n, 8) AS gold_per_row, round(np::DOUBLE / n, 8) AS pred_per_row, round(tp::DOUBLE / np, 8) AS micro_precision, round(tp::DOUBLE / ng, 8) AS micro_recall, above, below FROM t, r""")
+def factor_behaviour(spark: SparkSession, d: str) -> DataFrame:
+    """Density, micro precision and recall, calls above and below the annotated class."""
+    s = scored(spark, d).withColumn("po", risk_ord(F.col("pred")))
+    c = lambda x: F.count(F.when(x, 1))
+    a = s.agg(F.sum(F.size(F.array_intersect("factors", "pred_factors"))).alias("tp"), F.sum(F.size("pred_factors")).alias("np"), F.sum(F.size("factors")).alias("ng"), F.count("*").alias("n"), c(F.col("po") > F.col("risk_ord")).alias("above"), c(F.col("po") < F.col("risk_ord")).alias("below"))
+    r = lambda x, y, n: F.round(F.try_divide(F.col(x), F.col(y)), 8).alias(n)
+    return a.select(r("ng", "n", "gold_per_row"), r("np", "n", "pred_per_row"), r("tp", "np", "micro_precision"), r("tp", "ng", "micro_recall"), "above", "below")
+
+
+@query(f"{_SCORED} SELECT risk AS gold, pred, count(*) AS n FROM scored WHERE risk <> pred GROUP BY ALL ORDER BY n DESC, gold, pred LIMIT 8")
+def frequent_mistakes(spark: SparkSession, d: str) -> DataFrame:
+    """The eight most frequent mistakes, a top-k report."""
+    return agreement.shifts(scored(spark, d).select(F.col("risk").alias("gold"), "pred"), "gold", "pred")
+
+
+@query(f"{_SCORED}, x AS (SELECT row_id, risk, pred, unnest(list_intersect(factors, {sql_list(RARE)})) AS target, pred_factors FROM scored) SELECT target, count(*) AS n, count(*) FILTER (list_contains(pred_factors, target)) AS hits, round(avg(list_contains(pred_factors, target)::INT), 8) AS recall, round(avg((risk IS NOT DISTINCT FROM pred)::INT), 8) AS risk_agreement FROM x GROUP BY target")
+def real_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """One row per post and rare factor it has, read by the labeller."""
+    x = scored(spark, d).withColumn("target", F.explode(F.array_intersect("factors", F.array(*map(F.lit, RARE)))))
+    t = agreement.target_recall(x, "target", "pred_factors")
+    a = x.groupBy("target").agg(F.round(F.avg(F.col("risk").eqNullSafe(F.col("pred")).cast("double")), 8).alias("risk_agreement"))
+    return t.join(a, "target").select("target", "n", "hits", F.round("recall", 8).alias("recall"), "risk_agreement")
+
+
 @query(f"""{_SCORED}, x AS (SELECT fold, len(list_intersect(factors, pred_factors)) AS tp, len(list_filter(pred_factors, lambda f: NOT list_contains(factors, f))) AS fp, len(list_filter(factors, lambda f: NOT list_contains(pred_factors, f))) AS fn FROM scored), s AS (SELECT fold, count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, avg((fp + fn = 0)::INT) AS exact FROM x GROUP BY fold)
 SELECT fold, n, tp, fp, fn, round(exact, 8) AS exact, round(tp::DOUBLE / nullif(tp + fp, 0), 8) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 8) AS recall, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 8) AS f1 FROM s""")
 def set_micro_prf(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +174,7 @@ def threshold_apply(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bagged_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """T3."""
-    return thresholds.bagged_cutoffs(_long_scores(spark, d), "fold", "factor", "p", "y")
+    return thresholds.bagged_cutoffs(_long_scores(spark, d), "fold", "factor", "p", "y", order=FACTORS)
 
 
 @query(f"{_LONG}, d AS (SELECT factor, p, count(*) FILTER (y) AS a, count(*) FILTER (NOT y) AS b FROM sc GROUP BY factor, p), w AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY factor ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d) SELECT factor, CAST(sum(a) AS BIGINT) AS n_pos, CAST(sum(b) AS BIGINT) AS n_neg, round(sum(a * (below + b / 2.0::DOUBLE)) / (sum(a) * sum(b)), 8) AS auc FROM w GROUP BY factor")
@@ -147,23 +183,45 @@ def rank_auc(spark: SparkSession, d: str) -> DataFrame:
     return metrics.rank_auc(_long_scores(spark, d), "p", "y", ["factor"]).select("factor", "n_pos", "n_neg", F.round("auc", 8).alias("auc"))
 
 
-@query(f"{_SCORED}, {_FACTOR}, x AS (SELECT factor, support, f1 FROM ff), r AS (SELECT rank() OVER (ORDER BY support) + (count(*) OVER (PARTITION BY support) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY f1) + (count(*) OVER (PARTITION BY f1) - 1) / 2.0::DOUBLE AS ry FROM x) SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM r")
+@query(
+    f"""WITH {SQL_GOLD}, {SQL_ASSIGNED}, {sql_scored('s1', 'a')}, {sql_scored('s2', 'b')}, fx AS (SELECT unnest({sql_list(FACTORS)}) AS factor), nr AS (SELECT count(*) AS nr FROM gold_u), ng AS (SELECT count(*) AS ng FROM assigned),
+r AS (SELECT factor, (SELECT count(*) FROM gold_u WHERE list_contains(factors, factor)) AS r, (SELECT count(*) FROM assigned WHERE list_contains(factors, factor)) AS g FROM fx),
+f1s AS (SELECT factor, 2.0::DOUBLE * count(*) FILTER (list_contains(factors, factor) AND list_contains(pred_factors, factor)) / nullif(count(*) FILTER (list_contains(factors, factor)) + count(*) FILTER (list_contains(pred_factors, factor)), 0) AS f, k FROM fx, (SELECT factors, pred_factors, 1 AS k FROM a UNION ALL SELECT factors, pred_factors, 2 FROM b) GROUP BY factor, k),
+x AS (SELECT r.factor, ln(((r + g)::DOUBLE / (nr + ng)) / (r::DOUBLE / nr)) AS ratio, coalesce(f2.f, 0) - coalesce(f1.f, 0) AS delta FROM r, nr, ng, f1s f1, f1s f2 WHERE r.r > 0 AND f1.factor = r.factor AND f2.factor = r.factor AND f1.k = 1 AND f2.k = 2),
+y AS (SELECT rank() OVER (ORDER BY round(ratio, 10)) + (count(*) OVER (PARTITION BY round(ratio, 10)) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY round(delta, 10)) + (count(*) OVER (PARTITION BY round(delta, 10)) - 1) / 2.0::DOUBLE AS ry FROM x) SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM y"""
+)
 def spearman_rho(spark: SparkSession, d: str) -> DataFrame:
-    """Support against F1 over factors."""
-    s = metrics.factor_scores(scored(spark, d), "factors", "pred_factors")
-    return metrics.spearman(s, "support", "f1").select("n", F.round("rho", 8).alias("rho"))
+    """How much written rows raise a factor's share (log ratio) against the change of its F1 between two runs.  Its p comes
+    from metrics.spearman_p."""
+    g, a = gold(spark, d), assigned(spark, d)
+    count = lambda df, n: df.select(F.explode("factors").alias("factor")).groupBy("factor").agg(F.count("*").alias(n))
+    nr, ng = g.count(), a.count()
+    if not nr:
+        return spark.createDataFrame([(0, None)], "n long, rho double")
+    share = count(g, "r").join(count(a, "g"), "factor", "left").withColumn("ratio", F.round(F.log(((F.col("r") + F.coalesce("g", F.lit(0))) / (nr + ng)) / (F.col("r") / nr)), 10))
+    f = lambda seed, n: metrics.factor_scores(scored(spark, d, seed), "factors", "pred_factors").select("factor", F.col("f1").alias(n))
+    x = share.join(f("s1", "f1"), "factor").join(f("s2", "f2"), "factor").withColumn("delta", F.round(F.col("f2") - F.col("f1"), 10))
+    return metrics.spearman(x, "ratio", "delta").select("n", F.round("rho", 8).alias("rho"))
+
 
+_HOT = lambda x: f"list_transform(range(0, 4), lambda k: 0.75::DOUBLE * (k = list_position({sql_list(CLASSES)}, {x}) - 1)::INT + 0.25::DOUBLE * (k = list_position({sql_list(CLASSES)}, {x}) % 4)::INT)"
 
-@query(f"""WITH {SQL_GOLD}, {sql_scored('s1', 'a')}, {sql_scored('s2', 'b')}, j AS (SELECT a.row_id, a.risk AS gold_risk, a.pred AS pa, b.pred AS pb, CASE WHEN {sql_number('a.row_id', "'ha'")} % 2 = 0 THEN a.spans ELSE [] END AS sa, CASE WHEN {sql_number('a.row_id', "'hb'")} % 2 = 0 THEN a.spans ELSE [] END AS sb FROM a JOIN b USING (row_id)),
-m AS (SELECT *, CASE WHEN list_position({sql_list(CLASSES)}, pa) <= list_position({sql_list(CLASSES)}, pb) THEN pa ELSE pb END AS top, CASE WHEN len(sa) > 0 THEN sa ELSE sb END AS sp FROM j), f AS (SELECT row_id, CASE WHEN top <> 'Indicator' AND len(sp) = 0 THEN pa ELSE top END AS risk, sp FROM m) SELECT row_id, risk, CAST(CASE WHEN risk = 'Indicator' THEN 0 ELSE len(sp) END AS INTEGER) AS n_spans FROM f""")
+
+@query(f"""WITH {SQL_GOLD}, {sql_scored('s1', 'a')}, {sql_scored('s2', 'b')}, j AS (SELECT a.row_id, a.pred AS pa, list_transform(range(1, 5), lambda i: ({_HOT('a.pred')}[i] + {_HOT('b.pred')}[i]) / 2) AS p, CASE WHEN {sql_number('a.row_id', "'ha'")} % 2 = 0 THEN a.spans ELSE [] END AS sa, CASE WHEN {sql_number('a.row_id', "'hb'")} % 2 = 0 THEN a.spans ELSE [] END AS sb FROM a JOIN b USING (row_id)),
+m AS (SELECT *, ({sql_list(CLASSES)})[list_position(p, list_max(p))] AS top, CASE WHEN len(sa) > 0 THEN sa ELSE sb END AS sp FROM j), f AS (SELECT row_id, p, CASE WHEN top <> 'Indicator' AND len(sp) = 0 THEN pa ELSE top END AS risk, sp FROM m) SELECT row_id, risk, CAST(CASE WHEN risk = 'Indicator' THEN 0 ELSE len(sp) END AS INTEGER) AS n_spans, round(list_max(p), 8) AS top_probability FROM f""")
 def seed_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs with one-hot probabilities."""
+    """Two runs with class probabilities from the first token's alternatives."""
+    named = F.array(*map(F.lit, CLASSES))
+    second = F.element_at(named, (F.array_position(named, F.col("pred")) % 4 + 1).cast("int"))
+
     def run(seed: str, half: str) -> DataFrame:
-        hot = F.array(*[F.when(F.col("pred") == c, 1.0).otherwise(0.0) for c in CLASSES])
+        tokens = F.array(F.struct(F.concat(F.lit(' "'), F.substring("pred", 1, 3)).alias("tok"), F.log(F.lit(0.6)).alias("lp")), F.struct(second.alias("tok"), F.log(F.lit(0.2)).alias("lp")), F.struct(F.lit("I").alias("tok"), F.log(F.lit(0.1)).alias("lp")))
         keep = F.when(stable_number(F.col("row_id"), F.lit(half)) % 2 == 0, F.col("spans")).otherwise(F.array().cast("array<string>"))
-        return scored(spark, d, seed).select("row_id", hot.alias("probs"), keep.alias("spans"), F.col("pred").alias("risk"))
+        probs = F.transform(thresholds.class_probabilities(tokens, CLASSES, F.col("pred")), lambda p: F.round(p, 12))
+        return scored(spark, d, seed).select("row_id", probs.alias("probs"), keep.alias("spans"), F.col("pred").alias("risk"))
 
-    return thresholds.merge_runs(run("s1", "ha"), run("s2", "hb"), "row_id", CLASSES).select("row_id", "risk", F.size("spans").alias("n_spans"))
+    m = thresholds.merge_runs(run("s1", "ha"), run("s2", "hb"), "row_id", CLASSES)
+    return m.select("row_id", "risk", F.size("spans").alias("n_spans"), F.round(F.array_max("probs"), 8).alias("top_probability"))
 
 
 @query(f"""WITH {SQL_GOLD}, m AS (SELECT fold, step, avg(({sql_number('row_id', 'CAST(step AS VARCHAR)')} % 1000) / 1000.0::DOUBLE) AS v FROM gold_u, (SELECT unnest([20, 40, 60, 80]) AS step) WHERE fold IS NOT NULL GROUP BY fold, step), o AS (SELECT f.fold, m.step, round(avg(m.v), 10) AS mean_others FROM (SELECT DISTINCT fold FROM m) f JOIN m ON m.fold <> f.fold GROUP BY f.fold, m.step), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mean_others DESC, step) AS i FROM o) SELECT fold, CAST(step AS INTEGER) AS step, round(mean_others, 8) AS mean_others FROM r WHERE i = 1""")
@@ -183,67 +241,13 @@ def propagate_to_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return dedup.propagate(preds, c, "row_id", "cluster")
 
 
-_LAB = "regexp_replace(risk, '[^A-Za-z]+', '', 'g')"
-_RATE = f"""ra AS (SELECT case_id, annotator, submitted_at, upper({_LAB}[1]) || lower({_LAB}[2:]) AS label FROM annotations WHERE status = 'complete' AND case_id IS NOT NULL AND annotator IS NOT NULL),
-rr AS (SELECT case_id, annotator, label, row_number() OVER (PARTITION BY case_id, annotator ORDER BY submitted_at DESC NULLS LAST, label DESC NULLS LAST) AS i FROM ra), r AS (SELECT case_id, annotator, label FROM rr WHERE i = 1 AND label IS NOT NULL)"""
-
-
-def _ratings(spark: SparkSession, d: str) -> DataFrame:
-    label = F.initcap(F.regexp_replace("risk", "[^A-Za-z]+", ""))
-    return agreement.ratings(table(spark, d, "annotations"), label)
-
-
-@query(f"WITH {_RATE}, j AS (SELECT x.annotator AS a, y.annotator AS b, x.label AS p, y.label AS q FROM r x JOIN r y ON x.case_id = y.case_id AND x.annotator < y.annotator), t AS (SELECT a, b, count(*) AS n, avg((p = q)::INT) AS o FROM j GROUP BY a, b), l AS (SELECT a, b, p AS label, count(*) AS l FROM j GROUP BY ALL), s AS (SELECT a, b, q AS label, count(*) AS r FROM j GROUP BY ALL), e AS (SELECT a, b, sum(l * r) AS lr FROM l JOIN s USING (a, b, label) GROUP BY a, b), z AS (SELECT t.*, coalesce(lr, 0)::DOUBLE / (n * n) AS e FROM t LEFT JOIN e USING (a, b)) SELECT a, b, n, round(o, 8) AS agreement, round(CASE WHEN e < 1 THEN (o - e) / (1 - e) WHEN o = 1 THEN 1.0 END, 8) AS kappa FROM z")
-def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
-    """M10, M13, J12."""
-    return agreement.cohen_kappa(_ratings(spark, d))
-
-
-@query(f"WITH {_RATE}, c AS (SELECT case_id, label, count(*) AS c FROM r GROUP BY ALL), i AS (SELECT case_id, sum(c) AS m, sum(c * (c - 1)) AS s FROM c GROUP BY case_id HAVING sum(c) >= 2), p AS (SELECT count(*) AS n_items, avg(s::DOUBLE / (m * (m - 1))) AS p, sum(m) AS total FROM i), l AS (SELECT label, sum(c) AS n FROM c SEMI JOIN i USING (case_id) GROUP BY label), e AS (SELECT sum((n::DOUBLE / total) ** 2) AS e FROM l, p) SELECT n_items, round((p - e) / (1 - e), 8) AS kappa FROM p, e")
-def fleiss_kappa(spark: SparkSession, d: str) -> DataFrame:
-    """M11."""
-    return agreement.fleiss_kappa(_ratings(spark, d))
-
-
-@query(f"WITH {_RATE}, c AS (SELECT case_id, label, count(*) AS c FROM r GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY case_id) AS n, row_number() OVER (PARTITION BY case_id ORDER BY c DESC, label DESC) AS i FROM c) SELECT case_id, CAST(n AS BIGINT) AS n_ratings, c AS top_votes, CASE WHEN 2 * c > n THEN label ELSE 'Unclear' END AS risk FROM t WHERE i = 1")
-def consensus_majority(spark: SparkSession, d: str) -> DataFrame:
-    """M16, risk."""
-    return agreement.majority(_ratings(spark, d))
-
-
-@query("WITH l AS (SELECT DISTINCT case_id, annotator, unnest(factors) AS item FROM annotations WHERE status = 'complete') SELECT case_id, item, count(DISTINCT annotator) AS votes FROM l WHERE item IS NOT NULL GROUP BY case_id, item HAVING count(DISTINCT annotator) >= 2")
-def consensus_factors(spark: SparkSession, d: str) -> DataFrame:
-    """M16, factors."""
-    a = table(spark, d, "annotations").where("status = 'complete'").select("case_id", "annotator", F.explode("factors").alias("item")).where("item is not null")
-    return agreement.voted_items(a, "case_id", "item")
-
-
-@query("SELECT case_id, quantile_cont(naturalness::DOUBLE, 0.5) AS naturalness, CAST(min(confidence) AS INTEGER) AS confidence FROM annotations WHERE status = 'complete' AND case_id IS NOT NULL GROUP BY case_id")
-def consensus_scales(spark: SparkSession, d: str) -> DataFrame:
-    """M16, scales."""
-    return agreement.medians(table(spark, d, "annotations")).withColumn("confidence", F.col("confidence").cast("int"))
-
-
 @query()
-def pair_match_table(spark: SparkSession, d: str) -> DataFrame:
-    """M31."""
-    return agreement.pair_match_table(_ratings(spark, d))
-
-
-@query(f"WITH {_DRAFTS}, {_RATE}, w AS (SELECT arm, label, count(*) AS n FROM r JOIN (SELECT DISTINCT case_id, arm FROM drafts) USING (case_id) GROUP BY ALL) SELECT arm, label, n FROM w")
-def fidelity_by_arm(spark: SparkSession, d: str) -> DataFrame:
-    """Labels read per writer arm."""
-    return _ratings(spark, d).join(drafts(spark, d).select("case_id", "arm").distinct(), "case_id").groupBy("arm", "label").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {_DRAFTS}, u AS (SELECT draft_id, max(usage.input_tokens) AS i, max(usage.output_tokens) AS o FROM outputs GROUP BY draft_id) SELECT arm, status, count(*) AS n, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum(i * 1 + o * 5) / 1e6, 8) AS usd, quantile_cont({sql_count('text')}::DOUBLE, 0.5) AS median_words FROM drafts JOIN u USING (draft_id) GROUP BY arm, status")
-def arm_report(spark: SparkSession, d: str) -> DataFrame:
-    """M20, M23, P25."""
-    from quillspark.functions.text import ws_count
+def realigned_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of representatives carried over to their duplicates and aligned on their texts."""
+    c = dedup.clusters(posts(spark, d, "post_raw"), "row_id", "post_raw")
+    preds = gold(spark, d).where(stable_number(F.col("row_id"), F.lit("has")) % 2 == 0).select("row_id", "spans")
+    return dedup.propagate_spans(preds, c, "row_id", "cluster", "post_raw").select("row_id", F.array_join("spans", "|").alias("spans"), "source")
 
-    u = table(spark, d, "outputs", "draft_id", "usage").groupBy("draft_id").agg(F.max("usage.input_tokens").alias("i"), F.max("usage.output_tokens").alias("o"))
-    j = drafts(spark, d).join(u, "draft_id")
-    return j.groupBy("arm", "status").agg(F.count("*").alias("n"), F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), F.round(F.sum(F.col("i") + 5 * F.col("o")) / 1e6, 8).alias("usd"), F.percentile(ws_count(F.col("text")), F.lit(0.5)).alias("median_words"))
 
 
 @query(f"{_SCORED} SELECT risk, count(*) AS n, round(avg(len(factors)), 8) AS factors_per_row, round(avg(len(spans)), 8) AS spans_per_row, round(avg(len(pred_factors)), 8) AS predicted_per_row, round(avg(weight), 8) AS mean_weight FROM scored GROUP BY risk")
@@ -262,8 +266,7 @@ def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def realism_auc(spark: SparkSession, d: str) -> DataFrame:
-    """Drafts against posts, grouped by case or author."""
-    real = posts(spark, d, "post_raw", "anon_user_id").select(F.col("post_raw").alias("text"), F.col("anon_user_id").alias("grp"), F.lit(False).alias("made"))
-    made = drafts(spark, d).select("text", F.col("case_id").alias("grp"), F.lit(True).alias("made"))
-    f = realism.tfidf(real.unionByName(made), "text", 1 << 14)
-    return realism.grouped_auc(f, "grp", "made").select("fold", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
+    """Drafts against real posts of their class and length, grouped by case or author, weights fitted without the fold."""
+    made = drafts(spark, d).where("text is not null").join(assigned(spark, d).select("case_id", "risk"), "case_id").select(F.col("draft_id").alias("row_id"), "text", F.col("case_id").alias("grp"), "risk")
+    real = posts(spark, d, "post_raw", "anon_user_id").join(gold(spark, d).where("risk is not null").select("row_id", "risk"), "row_id").select("row_id", F.col("post_raw").alias("text"), F.col("anon_user_id").alias("grp"), "risk")
+    return realism.realism_auc(made, real).select("fold", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
\ No newline at end of file

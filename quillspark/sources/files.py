@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
 import json
 import os
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillspark.operators.ordering import numbered
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, fold: int | None = None) -> DataFrame:
     """JSON lines under a schema; blank lines are skipped; with ``fold`` only its rows."""
@@ -21,17 +22,31 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, fold: i
 
 
 def read_sheet(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A raw sheet as Parquet, CSV or JSON lines under a schema; the columns must match exactly."""
+    """A raw sheet as Parquet, CSV or JSON lines under a schema; the columns it holds must be exactly these, in any format."""
     kind = path.rsplit(".", 1)[-1]
-    r = spark.read.schema(schema)
-    df = r.parquet(path) if kind == "parquet" else r.option("header", True).option("multiLine", True).option("escape", '"').csv(path) if kind == "csv" else r.json(path)
     want = spark.createDataFrame([], schema).columns
-    if kind == "csv" and Path(path).is_file():
-        with open(path, newline="", encoding="utf-8") as f:
-            have = next(csv.reader(f), [])
-        if have != want:
-            raise ValueError(f"columns {have}, not {want}")
-    return df
+    if kind == "parquet":
+        have = spark.read.parquet(path).columns
+    elif kind == "csv":
+        have = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    else:
+        have = sorted(spark.read.json(path).columns)
+    if have != (want if kind in ("parquet", "csv") else sorted(want)):
+        raise ValueError(f"columns {have}, not {want}")
+    r = spark.read.schema(schema)
+    return r.parquet(path) if kind == "parquet" else r.option("header", True).option("multiLine", True).option("escape", '"').csv(path) if kind == "csv" else r.json(path)
+
+
+def result_rows(raw: DataFrame) -> DataFrame:
+    """Rows of a batch writer's results as the outputs table: (draft_id, arm, model, text, status, stop_reason).
+
+    ``raw``: custom_id, arm, model, type, stop_reason, text.  A result that did not succeed has an empty text and its type as
+    status; of the others the stop reason names the status.
+    """
+    named = F.create_map(F.lit("end_turn"), F.lit("ok"), F.lit("refusal"), F.lit("refusal"), F.lit("max_tokens"), F.lit("max_tokens"))
+    done = F.col("type") == "succeeded"
+    status = F.when(done, F.coalesce(F.try_element_at(named, "stop_reason"), "stop_reason")).otherwise(F.concat(F.lit("batch_"), "type"))
+    return raw.select(F.col("custom_id").alias("draft_id"), "arm", "model", F.when(done, F.coalesce("text", F.lit(""))).otherwise("").alias("text"), status.alias("status"), F.when(done, F.col("stop_reason")).alias("stop_reason"))
 
 
 def write_parquet(df: DataFrame, path: str, *partition: str) -> None:
@@ -79,9 +94,9 @@ def folder_hashes(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
-def shard(df: DataFrame, key: str, index: int, shards: int) -> DataFrame:
-    """The rows of one of several shards, by the digest of their key."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(shards)) == index)
+def shard(df: DataFrame, order: list[str], index: int, shards: int) -> DataFrame:
+    """The rows of one of several shards: every ``shards``-th row in the order, from ``index``."""
+    return numbered(df, order, "_i").where(F.col("_i") % shards == index).drop("_i")
 
 
 def merge_parts(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame | None:
@@ -92,12 +107,25 @@ def merge_parts(spark: SparkSession, paths: list[str], schema: StructType | str)
 
 
 def publish(staging: str, final: str, frozen: bool = False) -> None:
-    """Move a finished folder into place; with ``frozen`` an existing one must not be there."""
+    """Move a finished folder into place; what was there is set aside first and removed last, so a reader finds one or the
+    other at any time but the moment between two renames.  With ``frozen`` nothing may be there."""
+    old = None
     if Path(final).exists():
         if frozen:
             raise FileExistsError(final)
-        shutil.rmtree(final)
+        old = f"{final}.old"
+        shutil.rmtree(old, ignore_errors=True)
+        os.replace(final, old)
     os.replace(staging, final)
+    if old:
+        shutil.rmtree(old)
+
+
+def unchanged_folds(new: DataFrame, frozen: DataFrame) -> bool:
+    """Whether two assignments of folds hold the same rows, repeated ones as often."""
+    cols = sorted(new.columns)
+    a, b = new.select(*cols), frozen.select(*cols)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
 class Manifest:
@@ -111,6 +139,13 @@ class Manifest:
     def _hashes(paths: list[str]) -> dict[str, str]:
         return {p: file_hash(p) for p in paths if Path(p).is_file()}
 
+    def check_upstream(self, *names: str) -> None:
+        """Raises if one of the stages never ran or the files it left are not those that it recorded."""
+        for n in names:
+            s = self.stages.get(n)
+            if s is None or s["outputs"] != self._hashes(list(s["outputs"])):
+                raise RuntimeError(f"stage {n} is missing or its outputs changed")
+
     def record(self, name: str, config: dict, inputs: list[str], outputs: list[str]) -> None:
         self.stages[name] = {"config": canonical(config), "inputs": self._hashes(inputs), "outputs": self._hashes(outputs)}
         write_json(self.path, self.stages)
@@ -126,8 +161,12 @@ class Manifest:
         return [p for p, h in s["inputs"].items() if not Path(p).is_file() or file_hash(p) != h]
 
 
-def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A small report table as Markdown text."""
-    rows = df.limit(limit).collect()
-    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+def markdown(df: DataFrame, title: str, path: str) -> None:
+    """A report table of any length as a Markdown file, one row a line in the order of its rows."""
+    plain = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    tmp = Path(f"{path}.tmp")
+    with open(tmp, "w", encoding="utf-8") as f:
+        f.write(f"# {title}\n\n| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n")
+        for r in df.toLocalIterator():
+            f.write("| " + " | ".join(map(plain, r)) + " |\n")
+    os.replace(tmp, path)
