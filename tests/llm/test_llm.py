@@ -309,7 +309,9 @@ def test_subjects(spark):
     docs, want = [], {}
     for i in range(300):
         own = [["sport"], ["law"], ["sport", "law"]][i % 3]
-        said = [f"My {r.choice(people)} spoke of the {r.choice(topics[s])} and the {r.choice(topics[s])} before dinner." for s in own for _ in range(4)] + [f"My {r.choice(people)} was late again."]
+        # A document stays with a few words of its subject, which is what makes them bursty.
+        few = {s: r.sample(topics[s], 3) for s in own}
+        said = [f"My {r.choice(people)} spoke of the {r.choice(few[s])} and the {r.choice(few[s])} before dinner." for s in own for _ in range(4)] + [f"My {r.choice(people)} was late again."]
         docs.append((i, " ".join(said)))
         want[i] = set(own)
     docs += [(900, None), (901, "")]
@@ -322,6 +324,14 @@ def test_subjects(spark):
     assert subjects.subjects(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, subject string"), areas).count() == 0
 
 
+def test_burstiness_tells_subjects_from_phrasing():
+    sizes, counts = np.array([5.0, 10.0]), np.array([500.0, 500.0])
+    docs, sentences = np.array([100, 100, 2, 900, 50]), np.array([300, 104, 9, 3000, 60])
+    w = subjects.burstiness(docs, sentences, sizes, counts)
+    assert w[0] > 0 and w[1] == 0 and w[2] == 0 and w[3] == 0 and w[4] > 0
+    assert (subjects.burstiness(np.array([], int), np.array([], int), sizes, counts) == 0).all()
+
+
 def test_stretch_with_early_and_close_differences():
     w = [f"w{i}" for i in range(30)]
     other = lambda item, *at: ["start", *("x" if i in at else v for i, v in enumerate(item)), "end"]
