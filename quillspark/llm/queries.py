@@ -69,6 +69,10 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(_records(spark, folder))
 
 
+def p6_removed(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.removed(_records(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return charforms.other_form_texts(table(spark, folder, "posts", "row_id", "post_raw"), table(spark, folder, "spans", "row_id", "span_idx", "text_gold", "raw_slice"))
 

@@ -3,8 +3,12 @@
 Lines and sentences do not align with a run that may start anywhere, so the units are cut by content: of every window of
 ``WINDOW`` places the run of ``UNIT`` characters with the least hash is a unit (ties: all of them).  Every stretch of
 ``UNIT`` + ``WINDOW`` - 1 <= ``LENGTH`` characters then holds a whole unit, and two records that share the stretch share
-the unit.  Unit digests are grouped globally over classes of equal texts; the earliest ranked occurrence is kept and every
-other one is reported with its original offsets.  Units grow to their maximal common runs on the whole texts.
+the unit.  Unit digests are grouped globally over classes of equal texts.
+
+Pairs of records, where they are asked for, come from units that grow to their maximal common runs on the whole texts.  What
+a record shares, and what is removed where repeated text goes, needs no pairs: stretches of ``LENGTH`` characters all of
+whose units are shared are digested and grouped globally in turn, so that a stretch in m records costs m rows.  The earliest
+ranked occurrence of a stretch is kept, and every other one is reported with its original offsets.
 
 Characters are compared one for one; nothing is normalised away.  Defined results: null and short texts share nothing; a
 record delivered twice is one; records of one id are never a pair; empty tables give no rows.
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import mixed
+from quillspark.operators.ordering import numbered
 from quillspark.sources.staging import stage
 
 LENGTH, UNIT, WINDOW = 260, 100, 161
@@ -41,23 +46,32 @@ def _slide(x: np.ndarray, w: int, pick: np.ufunc, rest: np.uint64) -> np.ndarray
     return x
 
 
-def units(texts: list[str], unit: int = UNIT, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, place, digest) of all units of texts of at least ``unit`` characters each."""
+def _rolled(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest of the ``width`` characters from each place of all texts, text of each place, place in it, sizes of the texts).
+
+    Digests that would run over the end of a text are the greatest number.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     chars = mixed(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
     n = len(chars)
     power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _BASE, np.uint64))])
     back = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _INVERSE, np.uint64))])
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * power[:n])])
-    top, bottom = np.uint64(2**64 - 1), np.uint64(0)
-    digest = np.full(n, top, np.uint64)
-    digest[: n - unit + 1] = mixed((total[unit:] - total[: n - unit + 1]) * back[: n - unit + 1])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
+    digest = np.full(n, np.uint64(2**64 - 1), np.uint64)
+    if n >= width:
+        digest[: n - width + 1] = mixed((total[width:] - total[: n - width + 1]) * back[: n - width + 1])
     own = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(n) - starts[own]
+    place = np.arange(n) - (np.cumsum(sizes) - sizes)[own]
+    digest[place + width > sizes[own]] = np.uint64(2**64 - 1)
+    return digest, own, place, sizes
+
+
+def units(texts: list[str], unit: int = UNIT, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, place, digest) of all units of texts of at least ``unit`` characters each."""
+    top, bottom = np.uint64(2**64 - 1), np.uint64(0)
+    digest, own, place, sizes = _rolled(texts, unit)
+    n = len(digest)
     whole = place + unit <= sizes[own]
-    digest[~whole] = top
     least = _slide(digest, window, np.minimum, top)[:n]
     # A text with fewer places than a window is one window.
     least[~((place + unit + window - 1 <= sizes[own]) | ((place == 0) & (sizes[own] < unit + window - 1)))] = bottom
@@ -128,23 +142,32 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "start_a", "start_b", "chars"])
 
 
-def shared(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs between classes: a, b, start_a, start_b, chars; membership: rec, node, chars), staged.
+def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base: rec, text, node; members: rec, node, chars, staged; units of the classes: digest, node, place, staged).
 
-    ``records``: (rec, text).  Classes hold equal texts (64-bit digest); a class of several records is one row here.
+    Classes hold equal texts (64-bit digest); a class of several records is one row in the units.
     """
     base = records.where(F.col("rec").isNotNull() & (F.length("text") >= LENGTH)).withColumn("node", F.xxhash64("text"))
-    member = base.select("rec", "node", F.length("text").alias("chars"))
-    member = stage(member.distinct(), "members")
-    first = member.groupBy("node").agg(F.min("rec").alias("rec"))
-    unit = stage(base.select("node", "text").mapInArrow(_cut, "digest long, node long, place int").distinct(), "units")
+    member = stage(base.select("rec", "node", F.length("text").alias("chars")).distinct(), "members")
+    return base, member, stage(base.select("node", "text").mapInArrow(_cut, "digest long, node long, place int").distinct(), "units")
+
+
+def _held(base: DataFrame, member: DataFrame, used: DataFrame) -> DataFrame:
+    """(node, rec, text): the first record of each class of ``used`` (node) and its text."""
+    first = member.groupBy("node").agg(F.min("rec").alias("rec")).join(used, "node", "left_semi")
+    return first.join(base.select("rec", "node", "text"), ["rec", "node"]).groupBy("node", "rec").agg(F.min("text").alias("text"))
+
+
+def shared(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs between classes: a, b, start_a, start_b, chars; membership: rec, node, chars), staged.  ``records``: (rec, text)."""
+    base, member, unit = _classes(records)
     many = unit.groupBy("digest").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("digest")
     met = unit.join(many, "digest")
     x, y = met.alias("x"), met.alias("y")
     pair = x.join(y, "digest").where("x.node < y.node").groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.collect_set(F.struct(F.col("x.place").alias("i"), F.col("y.place").alias("j"))).alias("spots"))
     pair = stage(pair, "pairs")
     used = pair.select(F.col("a").alias("node")).union(pair.select("b")).distinct()
-    texts = stage(first.join(used, "node", "left_semi").join(base.select("rec", "node", "text"), ["rec", "node"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    texts = stage(_held(base, member, used), "texts")
     j = pair.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     grown = stage(j.select("a", "b", "ta", "tb", "spots").mapInArrow(_grow, "a long, b long, start_a int, start_b int, chars int"), "runs")
     return grown, member
@@ -160,22 +183,83 @@ def pairs(records: DataFrame) -> DataFrame:
     return both.join(x, "a").join(y, "b").where("p <> q").select(F.least("p", "q").alias("rec_a"), F.greatest("p", "q").alias("rec_b")).distinct()
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, node, rank, place) of the stretches of ``LENGTH`` characters whose unit of least hash is at a shared place.
+
+    A stretch that stands elsewhere has the same unit there, so no other one can be shared.
+    """
+    for b in batches:
+        texts, ranks, nodes, places = b.column("text").to_pylist(), b.column("rank").to_numpy(), b.column("node").to_numpy(), b.column("places").to_pylist()
+        i = 0
+        while i < len(texts):
+            j, held = i, 0
+            while j < len(texts) and (j == i or held + len(texts[j]) <= CHUNK):
+                held += len(texts[j])
+                j += 1
+            digest, own, place, sizes = _rolled(texts[i:j], LENGTH)
+            start, top = np.cumsum(sizes) - sizes, np.uint64(2**64 - 1)
+            unit = _rolled(texts[i:j], UNIT)[0]
+            known = np.full(len(unit), top, np.uint64)
+            at = np.concatenate([start[k] + np.array(p, np.int64) for k, p in enumerate(places[i:j])])
+            known[at] = unit[at]
+            least = _slide(unit, WINDOW, np.minimum, top)[: len(unit)]
+            keep = np.flatnonzero((place + LENGTH <= sizes[own]) & (least == _slide(known, WINDOW, np.minimum, top)[: len(unit)]))
+            yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), pa.array(nodes[i:j][own[keep]]), pa.array(ranks[i:j][own[keep]]), pa.array(place[keep].astype(np.int32))], ["digest", "node", "rank", "place"])
+            i = j
+
+
+def stretches(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shared stretches of classes: node, places, later; membership: rec, node, chars), staged.
+
+    places: starts of the stretches that another class has too; later: those among them of which an earlier occurrence is
+    kept.  Both are bounded by the length of one text.
+    """
+    base, member, unit = _classes(records)
+    many = unit.groupBy("digest").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("digest")
+    met = stage(unit.join(many, "digest").groupBy("node").agg(F.collect_set("place").alias("places")), "places")
+    texts = numbered(_held(base, member, met.select("node")).join(met, "node"), ["rec", "node"], "rank")
+    found = stage(texts.select("text", "rank", "node", "places").mapInArrow(_stretches, "digest long, node long, rank long, place int"), "stretches")
+    per = found.groupBy("digest").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("rank", "place")).alias("kept")).where("lo < hi").select("digest", "kept")
+    j = found.join(per, "digest")
+    later = (F.col("rank") != F.col("kept.rank")) | (F.col("place") != F.col("kept.place"))
+    return stage(j.groupBy("node").agg(F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set(F.when(later, F.col("place")))).alias("later")), "shared"), member
+
+
+def _ranges(places: F.Column) -> F.Column:
+    """Sorted stretch starts as the array of (start, end) that they cover."""
+    last = lambda s: F.element_at(s, -1)
+    new = lambda x: F.array(F.struct(x.alias("start"), (x + LENGTH).alias("end")))
+    step = lambda s, x: F.when((F.size(s) > 0) & (x <= last(s)["end"]), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last(s)["start"].alias("start"), (x + LENGTH).alias("end"))))).otherwise(F.concat(s, new(x)))
+    return F.aggregate(places, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def _length(ranges: F.Column) -> F.Column:
+    return F.aggregate(ranges, F.lit(0), lambda s, r: s + r["end"] - r["start"])
+
+
 def shares(records: DataFrame) -> DataFrame:
     """(rec, chars, shared_chars, shared, is_earliest) of the records that share a run.
 
-    shared_chars: characters of the record that lie in a run which another record has too.  is_earliest: no record of a
-    smaller id has any of its runs, so it would be kept where repeated text is removed.
+    shared_chars: characters of the record that lie in a run of ``LENGTH`` and more which another record has too.
+    is_earliest: nothing of it is removed where the earliest occurrence of repeated text is kept.
     """
-    grown, member = shared(records)
-    many = member.groupBy("node").agg(F.min("rec").alias("first"), F.max("rec").alias("last"), F.max("chars").alias("chars"))
-    span = grown.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("start_a").alias("lo"), "chars").union(grown.select("b", "a", "start_b", "chars"))
-    span = span.withColumn("hi", F.col("lo") + F.col("chars")).join(many.select(F.col("node").alias("other"), F.col("first").alias("other_first")), "other")
-    whole = many.where("first < last").select("node", F.lit(0).alias("lo"), F.col("chars").alias("hi"), F.lit(None).cast("string").alias("other_first"))
-    spans = span.select("node", "lo", "hi", "other_first").unionByName(whole).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.min("other_first").alias("other_first"))
-    merged = F.aggregate("spans", F.struct(F.lit(0).alias("total"), F.lit(0).alias("end")), lambda s, x: F.struct((s["total"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("total"), F.greatest(s["end"], x["hi"]).alias("end")))["total"]
-    m = member.join(spans.withColumn("shared_chars", merged), "node").join(many.select("node", "first"), "node")
-    early = (F.col("rec") == F.col("first")) & (F.col("other_first").isNull() | (F.col("rec") < F.col("other_first")))
-    return m.select("rec", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("shared"), early.alias("is_earliest"))
+    span, member = stretches(records)
+    many = member.groupBy("node").agg(F.min("rec").alias("first"), F.max("rec").alias("last"))
+    m = member.join(many, "node").join(span, "node", "left").where("places is not null or first < last")
+    covered = F.when(F.col("first") < F.col("last"), F.col("chars")).otherwise(_length(_ranges(F.col("places"))))
+    early = (F.col("rec") == F.col("first")) & (F.coalesce(F.size("later"), F.lit(0)) <= 0)
+    return m.select("rec", "chars", covered.alias("shared_chars"), F.round(covered / F.col("chars"), 6).alias("shared"), early.alias("is_earliest"))
+
+
+def removed(records: DataFrame) -> DataFrame:
+    """(rec, start, end): what goes where of every repeated run only the earliest ranked occurrence is kept, in the offsets of
+    the record.  Of records with one text all but the first go whole."""
+    span, member = stretches(records)
+    first = member.groupBy("node").agg(F.min("rec").alias("first"))
+    m = member.join(first, "node").join(span.select("node", "later"), "node", "left")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("chars").cast("int").alias("end")))
+    cut = F.when(F.col("rec") != F.col("first"), whole).otherwise(_ranges(F.coalesce("later", F.array().cast("array<int>"))))
+    return m.select("rec", F.explode(cut).alias("r")).select("rec", "r.start", "r.end")
 
 
 def post_and_draft_records(posts: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -210,8 +210,22 @@ def test_shared_runs_equal_brute_force(spark):
     have = {a: t for a, t in data if t}
     want = {tuple(sorted((a, b))) for a in have for b in have if a < b and any(have[a][i : i + 260] in have[b] for i in range(len(have[a]) - 259))}
     assert got == want
+    windows = {a: [t[i : i + 260] for i in range(max(0, len(t) - 259))] for a, t in have.items()}
+    owners: dict[str, list[tuple[str, int]]] = {}
+    for a in sorted(have):
+        for i, w in enumerate(windows[a]):
+            owners.setdefault(w, []).append((a, i))
+    cover = lambda starts: {k for i in starts for k in range(i, i + 260)}
+    full = {a: cover(i for i, w in enumerate(ws) if len({b for b, _ in owners[w]}) > 1) for a, ws in windows.items()}
     s = {x["rec"]: x for x in spans.shares(df).collect()}
-    assert s["e"]["shared"] == 1.0 and s["d"]["is_earliest"] and not s["e"]["is_earliest"] and 270 <= s["c"]["shared_chars"] < 275
+    assert {a: x["shared_chars"] for a, x in s.items()} == {a: len(c) for a, c in full.items() if c}
+    gone = {a: cover(i for i, w in enumerate(ws) if len({b for b, _ in owners[w]}) > 1 and owners[w][0] != (a, i)) for a, ws in windows.items()}
+    cut: dict[str, set[int]] = {}
+    for x in spans.removed(df).collect():
+        assert not cut.setdefault(x["rec"], set()) & set(range(x["start"], x["end"]))
+        cut[x["rec"]] |= set(range(x["start"], x["end"]))
+    assert cut == {a: c for a, c in gone.items() if c} and all(x["is_earliest"] == (a not in cut) for a, x in s.items())
+    assert spans.shares(df.where("false")).count() == spans.removed(df.where("false")).count() == 0
 
 
 # Problem 8
