@@ -1,8 +1,8 @@
 """Problem 7: text that looks ordinary but is made of other characters.
 
 Each token gets the intersection of its letters' *resolved script sets*: a letter that has a look-alike in another script
-counts for both scripts.  A token whose own letters mix scripts, or whose letters are all look-alikes of the script around
-it, is respelled in the one script that the intersection leaves.  The other forms (full width, mathematical letters,
+counts for both scripts, Latin letters too.  A token whose own letters mix scripts, or whose letters are all look-alikes of
+the script around it, is respelled in the one script that the intersection leaves, which need not be Latin.  The other forms (full width, mathematical letters,
 invisible characters, odd blanks, accents kept apart from their letter) are then brought to the ordinary form.
 
 Defined results: null text gives null and no flag; empty text stays empty; whole texts are processed, however long.
@@ -23,23 +23,34 @@ CYRILLIC = dict(zip("аеорсухіѕјԁһԛԝґАВЕКМНОРСТУХЅІ
 GREEK = dict(zip("αοντιρυκγχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aovtipukyxABEZHIKMNOPTYX", strict=True))
 ARMENIAN = dict(zip("օսոհցզԼՍՕ", "ounhgqLUO", strict=True))
 CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏃᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHZWVSLCPKB", strict=True))
-LATIN_EXTRA = {"ɑ": "a", "ɡ": "g", "ı": "i", "ꞵ": "b", "ʏ": "y", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s"}
-LOOKALIKE = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE}
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True))
+COPTIC = dict(zip("ⲟⲣⲥⲓⲞⲢⲤⲒⲔⲘⲚⲦⲨ", "opciOPCIKMNTY", strict=True))
+LATIN_EXTRA = {"ɑ": "a", "ɡ": "g", "ı": "i", "ꞵ": "b", "ƽ": "s"}
+LOOKALIKE = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE, "Lisu": LISU, "Coptic": COPTIC}
+# Small capitals, by their names: each imitates the small letter.
+for _n in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800)):
+    _name = unicodedata.name(chr(_n), "").removeprefix("LATIN LETTER SMALL CAPITAL ")
+    if len(_name) == 1:
+        LATIN_EXTRA[chr(_n)] = _name.lower()
 # Marks that imitate an ordinary one (typographic quotes are ordinary and not listed).
 MARKS = {"‐": "-", "‑": "-", "‒": "-", "−": "-", "․": ".", "ꓸ": ".", "։": ":", "꞉": ":", "∶": ":", ";": ";", "‚": ",", "ǃ": "!", "⁄": "/", "∕": "/", "∣": "|"}
 
 _FROM_SCRIPT = {c: (script, to) for script, table in LOOKALIKE.items() for c, to in table.items()}
-_SCRIPT_RANGES = (("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x530, 0x58F), ("Cherokee", 0x13A0, 0x13FF))
+#: Latin letters and the letters of each other script that look like them, the first of several.
+_TO_SCRIPT: dict[str, dict[str, str]] = {script: {} for script in LOOKALIKE}
+for _c, (_script, _to) in _FROM_SCRIPT.items():
+    _TO_SCRIPT[_script].setdefault(_to, _c)
+_SCRIPT_RANGES = (("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x530, 0x58F), ("Cherokee", 0x13A0, 0x13FF), ("Lisu", 0xA4D0, 0xA4FF), ("Coptic", 0x2C80, 0x2CFF))
 _BLANK = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     ⠀　]")
 _EMOJI = "[©®‼-↪⌚-⏿▪-➿⤴-⭕〰〽㊗㊙\U0001f000-\U0001faff]"
 _INVISIBLE = re.compile("[\xad͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U000e0000-\U000e0fff]")
 _IN_EMOJI = re.compile(f"(?<={_EMOJI})[︎️]?‍(?={_EMOJI})|(?<={_EMOJI})[︎️]|(?<=[0-9#*])️(?=⃣)")
-_WIDE = re.compile("[！-～\U0001d400-\U0001d7ffﬀ-ﬆ｡-ﾜℂℊ-ℓℕℙ-ℝℤℨ-ℭℯ-ℴ]+")
+_WIDE = re.compile("[Ⅰ-ⅿ！-～\U0001d400-\U0001d7ffﬀ-ﬆ｡-ﾜℂℊ-ℓℕℙ-ℝℤℨ-ℭℯ-ℴ]+")
 _APART = re.compile("[^\\W\\d_][̀-ͯ]+")
 _TOKEN = re.compile("[^\\W_]+", re.UNICODE)
 _MARK = re.compile("[" + "".join(map(re.escape, MARKS)) + "]")
 #: What no rule here can touch: a text made of these alone is in the one form already.  Used as a scan-side filter.
-PLAIN = "^[\\t\\n\\r\\x20-\\x7e¡-¨ª-¬¯-İĲ-ɏ–—‘’“-„†-•…€]*$"
+PLAIN = "^[\\t\\n\\r\\x20-\\x7e¡-¨ª-¬¯-İĲ-Ƽƾ-ɏ–—‘’“-„†-•…€]*$"
 
 
 def script_of(c: str) -> str:
@@ -58,26 +69,41 @@ def resolved_scripts(token: str) -> set[str]:
     left: set[str] | None = None
     for c in token:
         if c.isalpha():
-            own = {script_of(c)} | ({"Latin"} if c in _FROM_SCRIPT else set())
+            latin = _FROM_SCRIPT[c][1] if c in _FROM_SCRIPT else LATIN_EXTRA.get(c, c)
+            own = {script_of(c), *(k for k, table in _TO_SCRIPT.items() if latin in table)} | ({"Latin"} if c in _FROM_SCRIPT else set())
             left = own if left is None else left & own
     return left if left is not None else {"Latin"}
 
 
+def _in_script(c: str, script: str) -> str:
+    """The letter as it looks in the script, or itself."""
+    if not c.isalpha() or script_of(c) == script and c not in LATIN_EXTRA:
+        return c
+    latin = _FROM_SCRIPT[c][1] if c in _FROM_SCRIPT else LATIN_EXTRA.get(c, c)
+    return latin if script == "Latin" else _TO_SCRIPT.get(script, {}).get(latin, c)
+
+
 def respell(token: str, around: str = "Latin") -> str:
     """The token in its one consistent script.
 
-    Mixed scripts whose intersection leaves Latin: every look-alike becomes the Latin letter.  If the intersection is
-    empty but Latin letters of its own are there, the look-alikes follow them.  A whole-script confusable (all letters
-    look Latin, none is) follows the script ``around`` it.  A word wholly in another script stays.
+    Mixed scripts go to the script that the intersection leaves; to Latin if it leaves that too, unless the text around is in
+    another script that it leaves and fewer of the token's letters are Latin.  If nothing is left, look-alikes follow Latin
+    letters of the token.  A whole-script confusable (all letters look Latin, none is) follows the script ``around`` it.  A
+    word wholly in another script stays.
     """
-    own = {script_of(c) for c in token if c.isalpha()}
+    letters = [script_of(c) for c in token if c.isalpha()]
+    own = set(letters)
     if own <= {"Latin"}:
         return "".join(LATIN_EXTRA.get(c, c) for c in token)
-    if "Latin" in own:
-        return "".join(_FROM_SCRIPT[c][1] if c in _FROM_SCRIPT else LATIN_EXTRA.get(c, c) for c in token)
-    if "Latin" in resolved_scripts(token) and around == "Latin":
-        return "".join(_FROM_SCRIPT[c][1] for c in token)
-    return token
+    left = resolved_scripts(token)
+    if len(own) == 1:
+        return "".join(_in_script(c, "Latin") for c in token) if "Latin" in left and around == "Latin" else token
+    others = sorted(left & own - {"Latin"})
+    if "Latin" in left and not (others and around != "Latin" and 2 * letters.count("Latin") < len(letters)):
+        return "".join(_in_script(c, "Latin") for c in token)
+    if others:
+        return "".join(_in_script(c, others[0]) for c in token)
+    return "".join(_in_script(c, "Latin") for c in token) if "Latin" in own else token
 
 
 def _around(text: str) -> str:
