@@ -248,6 +248,25 @@ def test_suffix_search_finds_every_run():
     assert set(zip(q.tolist(), at.tolist(), strict=True)) == want
 
 
+def test_matches_and_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK", 70)
+    r = random.Random(12)
+    items = {i: text(r.randint(20, 60), 900 + i).split() for i in range(8)}
+    docs = []
+    for d in range(60):
+        w = text(40, 2000 + d).split()
+        for i in r.sample(range(8), 2):
+            k = r.randint(0, len(items[i]) - 15)
+            part = items[i][k : k + r.randint(10, 40)]
+            for _ in range(r.randint(0, 4)):
+                part[r.randrange(len(part))] = "zzz"
+            w[20:20] = part
+        docs.append((d, " ".join(w)))
+    got = {tuple(x) for x in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in docs for i, w in items.items() if leakage.stretch(t.split(), w)[0] >= leakage.LEAST}
+    assert got == want and 10 < len(want) < 120
+
+
 # Problem 5
 
 
