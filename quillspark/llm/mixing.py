@@ -1,7 +1,7 @@
 """Problem 9: mixing sources to target weights.
 
 Tokens of a public tokenizer are counted per source; the repetition rate of a source is its share of the mixture over its
-own tokens.  Every document is emitted floor(rate) times plus one copy with the probability of the fraction, drawn from a
+own tokens.  Every document is emitted in floor(rate) rows plus one with the probability of the fraction, drawn from a
 hash of the seed and its id, so that a run can be repeated and a lost task gives the same rows again.
 
 Without ``total`` the mixture is as large as the caps allow while all shares are exact.  With a given ``total`` a source
@@ -26,23 +26,30 @@ from quillspark.sources.staging import stage
 TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 
 
-def tokenizer(folder: str = TOKENIZERS, ranks: str = RANKS):  # noqa: ANN201
-    """The byte-level tokenizer whose ranks stand in the folder; the folder's own module holds its pattern."""
-    import tiktoken
-
+def load(folder: str = TOKENIZERS, ranks: str = RANKS) -> tuple[str, bytes]:
+    """(pattern, ranks file) of a byte-level tokenizer, read where the job is started; the folder's own module holds its
+    pattern.  Executors need no such folder: both are sent with the job, a megabyte at most whatever the data."""
     spec = importlib.util.spec_from_file_location("tokenizer_files", f"{folder}/__init__.py")
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
     with open(f"{folder}/{ranks}", "rb") as f:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=merges, special_tokens={})
+        return module.PATTERN, f.read()
+
+
+def tokenizer(pattern: str, ranks: bytes):  # noqa: ANN201
+    """The tokenizer of what :func:`load` gives."""
+    import tiktoken
+
+    merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
 
 def counted(documents: DataFrame, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
     """(doc_id, source, tokens) of every document; source in one spelling."""
+    held = documents.sparkSession.sparkContext.broadcast(load(folder, ranks))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(folder, ranks).encode_ordinary
+        encode = tokenizer(*held.value).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
@@ -73,7 +80,7 @@ def rates(sizes: dict[str, int], targets: dict[str, tuple[float, float]], total:
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, folder: str = TOKENIZERS, ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, tokens, copies) of the emitted documents, and the report per source.
+    """(doc_id, source, tokens, copy) of the emitted documents, a row per copy, and the report per source.
 
     The report: source, n_docs, tokens, target_share, rate, mixed_tokens, actual_share.  Sources are counted with partial
     aggregation; only those that have a target come to the driver, as many as the table of targets has.
@@ -87,8 +94,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     rated = spark.createDataFrame(list(rate.items()), "source string, rate double")
     whole = F.floor("rate")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    emitted = docs.join(F.broadcast(rated), "source").withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("int")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
-    mixed = emitted.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
+    times = (whole + (draw < F.col("rate") - whole).cast("long")).cast("int")
+    kept = docs.join(F.broadcast(rated), "source").withColumn("copies", times).where("copies > 0")  # rates: rows of the targets
+    emitted = kept.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    mixed = kept.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     every = mixed.agg(F.sum("mixed_tokens")).first()[0]
     report = per.join(goal.drop("cap"), "source", "full").join(rated, "source", "left").join(mixed, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
