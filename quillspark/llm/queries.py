@@ -111,6 +111,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit()}
 
 
+_AGREEMENT = """WITH a AS (SELECT case_id, lower(trim(annotator)) AS annotator, batch_id, coalesce(risk, '') AS risk, coalesce(submitted_at, TIMESTAMP '0001-01-01 00:00:00') AS sent FROM annotations WHERE case_id IS NOT NULL AND annotator IS NOT NULL AND lower(trim(status)) = 'complete'),
+l AS (SELECT *, regexp_replace(risk, '[^\\p{L}]+', '', 'g') AS w, row_number() OVER (PARTITION BY case_id, annotator ORDER BY sent DESC, risk DESC, batch_id DESC NULLS LAST) AS i FROM a),
+u AS (SELECT case_id, batch_id, list_position(['Indicator', 'Ideation', 'Behavior', 'Attempt'], upper(w[1]) || lower(w[2:])) AS k FROM l WHERE i = 1),
+c AS (SELECT batch_id, case_id, count(*) AS m, count(*) FILTER (k = 1) AS c0, count(*) FILTER (k = 2) AS c1, count(*) FILTER (k = 3) AS c2, count(*) FILTER (k = 4) AS c3 FROM u WHERE k > 0 GROUP BY batch_id, case_id),
+p AS (SELECT *, c0 * (c0 - 1) + c1 * (c1 - 1) + c2 * (c2 - 1) + c3 * (c3 - 1) AS pairs, CASE WHEN m >= 2 THEN (c0 * (c0 - 1) + c1 * (c1 - 1) + c2 * (c2 - 1) + c3 * (c3 - 1))::DOUBLE / (m * (m - 1)) END AS agree FROM c),
+g AS (SELECT batch_id, count(*) AS n_cases, avg((agree = 1)::INT) AS exact, avg(agree) AS p, sum(pairs::DOUBLE / (m - 1)) FILTER (m >= 2) AS same, sum(m) FILTER (m >= 2) AS total, sum(c0) FILTER (m >= 2) AS t0, sum(c1) FILTER (m >= 2) AS t1, sum(c2) FILTER (m >= 2) AS t2, sum(c3) FILTER (m >= 2) AS t3, coalesce(string_agg(case_id, ',' ORDER BY case_id) FILTER (agree < 1), '') AS majority_cases FROM p GROUP BY batch_id),
+f AS (SELECT *, (t0 * t0 + t1 * t1 + t2 * t2 + t3 * t3)::DOUBLE / (total * total) AS chance, 1 - (t0 * (t0 - 1) + t1 * (t1 - 1) + t2 * (t2 - 1) + t3 * (t3 - 1))::DOUBLE / (total * (total - 1)) AS off FROM g)
+SELECT batch_id, n_cases, round(exact, 6) AS risk_exact_agreement, round(CASE WHEN chance < 1 THEN (p - chance) / (1 - chance) END, 6) AS risk_fleiss_kappa, round(CASE WHEN off > 0 THEN 1 - (1 - same / total) / off END, 6) AS risk_alpha, majority_cases FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None: no query of the problems can be put in SQL that is fast enough on whole tables."""
-    return {}
+    """Plain reports only: the other queries can't be put in SQL that is fast enough on whole tables."""
+    return {"p1_agreement": _AGREEMENT}
