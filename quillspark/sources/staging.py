@@ -1,10 +1,13 @@
 """Staged intermediate tables: a plan is cut by writing its rows to the folder that all executors share.
 
 A staged table survives the loss of any executor, unlike cached or locally checkpointed blocks, and Parquet keeps it small.
+All tables of one application lie in one folder of their own; :func:`discard` deletes it when its results are no longer read.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,19 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set and Spark runs in one process."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set and Spark runs in one process, which
+    goes when that process ends."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="quillspark-"))
-    return made
+    made = tempfile.mkdtemp(prefix="quillspark-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
+    return f"file://{made}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return a reader of what was written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that this application staged.  Frames that read them can't be used afterwards."""
+    jvm, path = spark.sparkContext._jvm, _own(spark)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import re
 
 import numpy as np
@@ -16,7 +17,7 @@ from quillspark.config import BOOTSTRAPS, CLASSES, FACTORS, RARE
 from quillspark.functions import text as T
 from quillspark.operators import agreement, assembly, checks, dedup, metrics, ordering, parse, render, resample, screen, spans, thresholds, timeline
 from quillspark.plans import prep, sampling, scoring
-from quillspark.sources import files
+from quillspark.sources import files, staging
 from quillspark.streaming.screening import screen_stream
 
 TEXT = st.text(alphabet="ab .… '’AB\n", max_size=30)
@@ -402,6 +403,14 @@ def test_files(spark, tmp_path):
     assert checks.digest(a).first() == checks.digest(b).first()
 
 
+def test_staged_tables_are_discarded(spark):
+    path = staging._own(spark).removeprefix("file://")
+    d = staging.stage(spark.range(3).toDF("id"))
+    assert d.count() == 3 and os.listdir(path)
+    staging.discard(spark)
+    assert not os.path.exists(path)
+
+
 def test_streamed_screening(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"draft_id": "1", "case_id": "c", "text": "I cannot write this", "status": "ok"}\n{"draft_id": "2", "case_id": "c", "text": "fine", "status": "ok"}\n')
