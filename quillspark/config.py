@@ -14,9 +14,9 @@ CURLY = {"‘": "'", "’": "'", "“": '"', "”": '"', " ": " "}
 ELLIPSIS = "…"
 EDGE_MARKS = r"[.!?,;:\"]+$"
 GAP = r"\.\.\.|…"
-FOLDS, FOLD_SEED, RARE_MINIMUM = 5, 42, 15
+FOLDS, RARE_MINIMUM = 5, 15
 NEIGHBOUR_CLIP, REFERENCE_CLIP, CLIP_MARK = 300, 1200, " [...]"
-TOKEN_BUDGET, HEAD_SHARE, MIDDLE_CAP, COVER_MARGIN = 1024, 0.6, 512, 4
+TOKEN_BUDGET, HEAD_SHARE, COVER_MARGIN = 1024, 0.6, 4
 CUT_MARK = " [...] "
 WORD_RANGE = (15, 350)
 TOO_LONG_WORDS, COPY_RATIO, OVERLAP_GRAM, COPY_GRAM = 700, 0.55, 8, 6

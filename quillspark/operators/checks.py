@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.config import FOLDS, RARE_MINIMUM
 from quillspark.functions.text import official_match, parse_evidence, ws_count
 
 
@@ -54,14 +55,14 @@ def leaked(exemplars: DataFrame, folds: DataFrame, key: str, held_out: str, fold
     return j.where(F.col("_fold") == F.col(held_out)).select(key, held_out).distinct()
 
 
-def thin_folds(df: DataFrame, fold: str, label: str, value: str, least: int, folds: int = 5) -> DataFrame:
+def thin_folds(df: DataFrame, fold: str, label: str, value: str, least: int = RARE_MINIMUM, folds: int = FOLDS) -> DataFrame:
     """(fold, n): folds with fewer than ``least`` rows of the class, those with none too."""
     every = df.sparkSession.range(folds).select(F.col("id").cast("int").alias(fold))
     n = df.where(F.col(label) == value).groupBy(F.col(fold).cast("int").alias(fold)).agg(F.count("*").alias("n"))
     return every.join(n, fold, "left").select(fold, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
 
 
-def absent_items(df: DataFrame, fold: str, items: str, taxonomy: list[str], folds: int = 5) -> DataFrame:
+def absent_items(df: DataFrame, fold: str, items: str, taxonomy: list[str], folds: int = FOLDS) -> DataFrame:
     """(item, fold): entries of the taxonomy that no row of the fold has."""
     spark = df.sparkSession
     every = spark.range(folds).select(F.col("id").cast("int").alias(fold), F.explode(F.array(*map(F.lit, taxonomy))).alias("item"))

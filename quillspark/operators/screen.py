@@ -18,13 +18,20 @@ from quillspark.functions.text import alpha_tokens, grams, let, near_dup_key, no
 from quillspark.sources.staging import stage
 
 
+#: Runs of a corpus that are broadcast: 8 bytes each.
+SMALL = 500_000
+
+
 def overlap(df: DataFrame, key: str, text: str, corpus: DataFrame, corpus_text: str, n: int = OVERLAP_GRAM) -> DataFrame:
     """(key): rows that share a run of n normalised tokens, or the near-duplicate key, with the corpus.
 
-    Runs are 64-bit digests, distinct per row before they are shuffled, so a hot run costs one row per text.
+    Runs are 64-bit digests, distinct per row before they are shuffled, so a hot run costs one row per text.  Digests of a
+    corpus of at most ``SMALL`` runs, which is counted first, are broadcast, and then no run of the rows is shuffled at all.
     """
     marks = lambda d, c: F.explode(F.transform(F.array_append(grams(ws_tokens(normalized(F.col(c))), n), F.concat(F.lit("key:"), near_dup_key(F.col(c)))), lambda g: F.xxhash64(g)))  # noqa: E731, ARG005
     known = corpus.where(F.col(corpus_text).isNotNull()).select(marks(corpus, corpus_text).alias("_g")).distinct()
+    known = stage(known, "runs")
+    known = F.broadcast(known) if known.count() <= SMALL else known
     return df.where(F.col(text).isNotNull()).select(key, marks(df, text).alias("_g")).join(known, "_g", "left_semi").select(key).distinct()
 
 

@@ -413,9 +413,15 @@ def test_staged_tables_are_discarded(spark):
 
 def test_streamed_screening(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"draft_id": "1", "case_id": "c", "text": "I cannot write this", "status": "ok"}\n{"draft_id": "2", "case_id": "c", "text": "fine", "status": "ok"}\n')
-    screen_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), "cannot write").awaitTermination()
-    assert {(r["draft_id"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1", "soft_refusal"), ("2", None)}
+    texts = {"1": "I cannot write this", "2": "fine", "3": "w1 w2 w3 w4 w5 w6 w7 w8 w9", "4": "s1 s2 s3 s4 s5 s6"}
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps({"draft_id": k, "case_id": "c", "text": t, "status": "ok"}) + "\n" for k, t in texts.items()))
+    run = lambda sink, **more: screen_stream(spark, str(tmp_path / "in"), str(tmp_path / sink), str(tmp_path / f"{sink}-cp"), "cannot write", **more).awaitTermination()
+    read = lambda sink: {r["draft_id"]: r["reason"] for r in spark.read.parquet(str(tmp_path / sink)).collect()}
+    run("out")
+    assert read("out") == {"1": "soft_refusal", "2": None, "3": None, "4": None}
+    corpus = spark.createDataFrame([("x w1 w2 w3 w4 w5 w6 w7 w8 w9 y",)], "post_raw string")
+    run("all", corpus=corpus, prompts=spark.createDataFrame([("c", "Posts:\n[1] s1 s2 s3 s4 s5 s6 and more of it\nWrite.")], "case_id string, user_text string"))
+    assert read("all") == {"1": "soft_refusal", "2": None, "3": "real_overlap", "4": "reference_copy"}
 
 
 def _tables(spark, at, **rows):
