@@ -76,7 +76,10 @@ def units(texts: list[str], unit: int = UNIT, window: int = WINDOW) -> tuple[np.
     # A text with fewer places than a window is one window.
     least[~((place + unit + window - 1 <= sizes[own]) | ((place == 0) & (sizes[own] < unit + window - 1)))] = bottom
     kept = whole & (digest == _slide(least[::-1], window, np.maximum, bottom)[:n][::-1])
-    at = np.flatnonzero(kept)
+    # Within a run of one character all units are equal, and the longest common runs go through its first or its last one.
+    inner = np.zeros(n, bool)
+    inner[1:-1] = (digest[1:-1] == digest[:-2]) & (digest[1:-1] == digest[2:]) & kept[:-2] & kept[2:] & (own[:-2] == own[2:])
+    at = np.flatnonzero(kept & ~inner)
     return own[at], place[at], digest[at]
 
 
@@ -184,12 +187,12 @@ def pairs(records: DataFrame) -> DataFrame:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, node, rank, place) of the stretches of ``LENGTH`` characters whose unit of least hash is at a shared place.
+    """(digest, node, rank, place) of the stretches of ``LENGTH`` characters whose unit of least hash is a shared one.
 
     A stretch that stands elsewhere has the same unit there, so no other one can be shared.
     """
     for b in batches:
-        texts, ranks, nodes, places = b.column("text").to_pylist(), b.column("rank").to_numpy(), b.column("node").to_numpy(), b.column("places").to_pylist()
+        texts, ranks, nodes, digests = b.column("text").to_pylist(), b.column("rank").to_numpy(), b.column("node").to_numpy(), b.column("digests").to_pylist()
         i = 0
         while i < len(texts):
             j, held = i, 0
@@ -197,11 +200,12 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += len(texts[j])
                 j += 1
             digest, own, place, sizes = _rolled(texts[i:j], LENGTH)
-            start, top = np.cumsum(sizes) - sizes, np.uint64(2**64 - 1)
-            unit = _rolled(texts[i:j], UNIT)[0]
+            unit, top = _rolled(texts[i:j], UNIT)[0], np.uint64(2**64 - 1)
+            ends = np.cumsum(sizes)
             known = np.full(len(unit), top, np.uint64)
-            at = np.concatenate([start[k] + np.array(p, np.int64) for k, p in enumerate(places[i:j])])
-            known[at] = unit[at]
+            for k, d in enumerate(digests[i:j]):
+                part = unit[ends[k] - sizes[k] : ends[k]]
+                known[ends[k] - sizes[k] : ends[k]] = np.where(np.isin(part, np.array(d, np.int64).view(np.uint64)), part, top)
             least = _slide(unit, WINDOW, np.minimum, top)[: len(unit)]
             keep = np.flatnonzero((place + LENGTH <= sizes[own]) & (least == _slide(known, WINDOW, np.minimum, top)[: len(unit)]))
             yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), pa.array(nodes[i:j][own[keep]]), pa.array(ranks[i:j][own[keep]]), pa.array(place[keep].astype(np.int32))], ["digest", "node", "rank", "place"])
@@ -216,9 +220,9 @@ def stretches(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     base, member, unit = _classes(records)
     many = unit.groupBy("digest").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("digest")
-    met = stage(unit.join(many, "digest").groupBy("node").agg(F.collect_set("place").alias("places")), "places")
+    met = stage(unit.join(many, "digest").groupBy("node").agg(F.collect_set("digest").alias("digests")), "digests")
     texts = numbered(_held(base, member, met.select("node")).join(met, "node"), ["rec", "node"], "rank")
-    found = stage(texts.select("text", "rank", "node", "places").mapInArrow(_stretches, "digest long, node long, rank long, place int"), "stretches")
+    found = stage(texts.select("text", "rank", "node", "digests").mapInArrow(_stretches, "digest long, node long, rank long, place int"), "stretches")
     per = found.groupBy("digest").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("rank", "place")).alias("kept")).where("lo < hi").select("digest", "kept")
     j = found.join(per, "digest")
     later = (F.col("rank") != F.col("kept.rank")) | (F.col("place") != F.col("kept.place"))

@@ -237,7 +237,7 @@ def test_shared_runs_equal_brute_force(spark):
     r = random.Random(9)
     letters = lambda n: "".join(r.choices("abcd ", k=n))
     piece, long = letters(300), letters(1500)
-    data = [("a", letters(50) + piece + letters(100)), ("b", piece[:259] + letters(200)), ("c", letters(7) + piece[20:290] + "é"), ("d", long), ("e", long), ("f", long[700:960]), ("g", "ab" * 400), ("h", "x" + "ab" * 200), ("i", None), ("j", "short"), ("d", long)]
+    data = [("a", letters(50) + piece + letters(100)), ("b", piece[:259] + letters(200)), ("c", letters(7) + piece[20:290] + "é"), ("d", long), ("e", long), ("f", long[700:960]), ("g", "ab" * 400), ("h", "x" + "ab" * 200), ("i", None), ("j", "short"), ("d", long), ("k", "a" * 3000), ("l", "b" + "a" * 500 + "c" + letters(40)), ("m", letters(30) + "a" * 300 + "c" + letters(300))]
     df = spark.createDataFrame(data, "rec string, text string")
     got = {tuple(x) for x in spans.pairs(df).collect()}
     have = {a: t for a, t in data if t}
