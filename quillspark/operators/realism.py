@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -93,10 +95,10 @@ def grouped_auc(df: DataFrame, group: str, label: str, folds: int = 5, seed: str
     return out
 
 
-def realism_auc(made: DataFrame, real: DataFrame, features: int = 1 << 18) -> DataFrame:
+def realism_auc(made: DataFrame, real: DataFrame, features: int = 1 << 18, vectoriser: Callable[[DataFrame, str, int], DataFrame] = counted_terms) -> DataFrame:
     """(fold, n_pos, n_neg, auc) of telling written rows from real ones of the same class and nearest length decile.
 
-    Both sides: row_id, text, grp, risk.  Written rows of a class without real ones are left out.
+    ``vectoriser``: adds tf, the counts of terms, to a frame.  Both sides: row_id, text, grp, risk.  Written rows of a class without real ones are left out.
     """
     real = real.withColumn("w", ws_count(F.col("text")))
     edges = decile_edges(real, "w")
@@ -105,7 +107,7 @@ def realism_auc(made: DataFrame, real: DataFrame, features: int = 1 << 18) -> Da
     pairs = stage(matched_reals(m.select("row_id", "risk", "decile"), r.select("row_id", "risk", "decile"), "risk", "row_id", "match"), "matched")
     pos = m.join(pairs.select("row_id"), "row_id", "left_semi").select("text", "grp", F.lit(True).alias("made"))
     neg = pairs.select(F.col("real_key").alias("row_id")).join(real, "row_id").select("text", "grp", F.lit(False).alias("made"))
-    return grouped_auc(counted_terms(pos.unionByName(neg), "text", features), "grp", "made")
+    return grouped_auc(vectoriser(pos.unionByName(neg), "text", features), "grp", "made")
 
 
 def style(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:

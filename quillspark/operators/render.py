@@ -36,6 +36,10 @@ def target_map(risk: Column, evidence: Column, factors: Column, taxonomy: list[s
     return F.concat(F.lit('{"evidence": '), listed(evidence), F.lit(', "factors": {'), pairs, F.lit('}, "risk": '), quoted(risk), F.lit("}"))
 
 
+#: Target schemas by name.
+SCHEMAS = {"v1": target_list, "v2": target_map}
+
+
 def true_factors(target: Column, taxonomy: list[str] = FACTORS) -> Column:
     """Factors of a rendered target of either form, in the taxonomy's order; null for other text."""
     by_map = F.from_json(F.get_json_object(target, "$.factors"), "map<string,boolean>")

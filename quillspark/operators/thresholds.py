@@ -152,3 +152,12 @@ def merge_runs(a: DataFrame, b: DataFrame, key: str, classes: list[str]) -> Data
     back = (F.col("risk") != classes[0]) & (F.size("spans") == 0)
     d = d.withColumn("risk", F.when(back, F.coalesce("x.risk", "y.risk", "risk")).otherwise(F.col("risk")))
     return d.select(key, "risk", F.when(F.col("risk") == classes[0], F.array().cast("array<string>")).otherwise(F.col("spans")).alias("spans"), "probs")
+
+
+#: How cutoffs are fitted, by name: (frame, fold, item, score, label) to (held_out, item, tau).  A project adds its own.
+FITTERS = {"argmax": lambda df, fold, by, score, label: nested_cutoffs(df, fold, [by], score, label), "bagged": bagged_cutoffs}
+
+
+def fitted(df: DataFrame, fold: str, by: str, score: str, label: str, fitter: str = "argmax") -> DataFrame:
+    """``df`` with pred by the cutoffs that the named fitter finds on the other folds."""
+    return apply_cutoffs(df, FITTERS[fitter](df, fold, by, score, label), fold, [by], score)

@@ -99,9 +99,14 @@ def shard(df: DataFrame, order: list[str], index: int, shards: int) -> DataFrame
     return numbered(df, order, "_i").where(F.col("_i") % shards == index).drop("_i")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def merge_parts(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame | None:
-    """All parts as one table, or None while one is missing."""
-    if not all(Path(p).exists() for p in paths):
+    """All parts as one table, or None while one is missing, on any file system that Spark reads."""
+    if not all(_exists(spark, p) for p in paths):
         return None
     return spark.read.schema(schema).json(paths)
 
@@ -135,9 +140,11 @@ class Manifest:
         self.path = path
         self.stages = json.loads(Path(path).read_text()) if Path(path).exists() else {}
 
-    @staticmethod
-    def _hashes(paths: list[str]) -> dict[str, str]:
-        return {p: file_hash(p) for p in paths if Path(p).is_file()}
+    def _hashes(self, paths: list[str]) -> dict[str, str]:
+        """Path, relative to the manifest's folder, to hash; a folder can be moved with its manifest."""
+        home = Path(self.path).resolve().parent
+        full = {os.path.relpath(home / p, home): home / p for p in paths}
+        return {p: file_hash(str(q)) for p, q in full.items() if q.is_file()}
 
     def check_upstream(self, *names: str) -> None:
         """Raises if one of the stages never ran or the files it left are not those that it recorded."""
@@ -158,7 +165,8 @@ class Manifest:
     def stale_inputs(self, name: str) -> list[str]:
         """Inputs of the stage that changed or vanished since."""
         s = self.stages.get(name, {"inputs": {}})
-        return [p for p, h in s["inputs"].items() if not Path(p).is_file() or file_hash(p) != h]
+        now = self._hashes(list(s["inputs"]))
+        return [p for p, h in s["inputs"].items() if now.get(p) != h]
 
 
 def markdown(df: DataFrame, title: str, path: str) -> None:

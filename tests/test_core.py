@@ -381,6 +381,7 @@ def test_bagged_cutoffs_are_seeded_by_place(spark):
     run = lambda bags, order: {(r["held_out"], r["f"]): r["tau"] for r in thresholds.bagged_cutoffs(d, "k", "f", "s", "y", bags, 1, order).collect()}
     a = run(40, ["x", "y", "z"])
     assert a == run(40, ["x", "y", "z"]) and a != run(40, ["y", "x", "z"]) and a[1, "z"] == 0.5
+    assert {r["pred"] for r in thresholds.fitted(d, "k", "f", "s", "y").collect()} == {True, False}
     own = [(s, y) for k, f, s, y in rows if k != 0 and f == "x"]
     s, y = np.array([r[0] for r in own]), np.array([r[1] for r in own])
     boot = [thresholds.cutoff(s[i], y[i]) for i in (rng.integers(0, len(s), len(s)) for _ in range(300)) if y[i].any()]
@@ -398,7 +399,11 @@ def test_files(spark, tmp_path):
     again = files.Manifest(str(tmp_path / "m.json"))
     assert again.unchanged("s", {"a": 1}, [str(tmp_path / "in.txt")])
     (tmp_path / "in.txt").write_text("2")
-    assert again.stale_inputs("s") == [str(tmp_path / "in.txt")]
+    assert again.stale_inputs("s") == ["in.txt"]
+    again.check_upstream("s")
+    with pytest.raises(RuntimeError):
+        again.check_upstream("s", "never")
+    assert files.merge_parts(spark, [str(tmp_path / "x"), str(tmp_path / "none")], "k string") is None and files.merge_parts(spark, [str(tmp_path / "x")], "k string").count() == 2
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "i int, s string"), spark.createDataFrame([(2, "y"), (1, "x")], "i int, s string")
     assert checks.digest(a).first() == checks.digest(b).first()
 
