@@ -113,6 +113,38 @@ def risk_steps(text: str, tokens: list[str], logs: list[list[tuple[str, float]]]
     return [sorted(x, key=lambda p: (-p[1], p[0])) for x in logs[first : first + steps]]
 
 
+LOGS = "array<array<struct<tok:string,lp:double>>>"
+
+
+def probed(df: DataFrame, text: str, tokens: str, logs: str, taxonomy: list[str] = FACTORS) -> DataFrame:
+    """``df`` with p_true, a map of :func:`factor_probabilities`; null where text or tokens are.
+
+    ``tokens``: array of the decoded tokens of the text, ``logs``: at each of them the alternatives (tok, lp).
+    """
+    @F.pandas_udf("map<string,double>")
+    def run(t: pd.Series, k: pd.Series, g: pd.Series) -> pd.Series:
+        out = []
+        for a, b, c in zip(t, k, g, strict=True):
+            if a is None or b is None:
+                out.append(None)
+            else:
+                alternatives = [[(x["tok"], x["lp"]) for x in step] for step in (c if c is not None else [])]
+                out.append(factor_probabilities(a, list(b), alternatives + [[]] * (len(b) - len(alternatives)), taxonomy))
+        return pd.Series(out)
+
+    return df.withColumn("p_true", run(text, tokens, logs))
+
+
+def risk_probed(df: DataFrame, text: str, tokens: str, logs: str, steps: int = 3) -> DataFrame:
+    """``df`` with risk_logprobs, the steps of :func:`risk_steps`; an empty list where the text has no class."""
+    @F.pandas_udf(LOGS)
+    def run(t: pd.Series, k: pd.Series, g: pd.Series) -> pd.Series:
+        got = [risk_steps(a or "", list(b) if b is not None else [], [[(x["tok"], x["lp"]) for x in step] for step in (c if c is not None else [])], steps) for a, b, c in zip(t, k, g, strict=True)]
+        return pd.Series([[[{"tok": x, "lp": y} for x, y in step] for step in r] for r in got])
+
+    return df.withColumn("risk_logprobs", run(text, tokens, logs))
+
+
 def output_pattern(classes: list[str] = CLASSES, taxonomy: list[str] = FACTORS) -> str:
     """A pattern (for rlike) of well-formed rendered records with a map of all factors."""
     import re

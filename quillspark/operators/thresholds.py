@@ -115,6 +115,12 @@ def nested_checkpoint(metrics: DataFrame, fold: str, step: str, value: str) -> D
     return mean.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def selected_steps(metrics: DataFrame, fold: str, step: str, value: str) -> DataFrame:
+    """(fold, step, value): the first step with the best value of each fold."""
+    m = metrics.groupBy(fold, step).agg(F.round(F.avg(value), 10).alias("value"))
+    return m.groupBy(fold).agg(F.max(F.struct("value", (-F.col(step)).alias("_s"))).alias("_b")).select(fold, (-F.col("_b._s")).alias(step), F.col("_b.value").alias("value"))
+
+
 def class_probabilities(logprobs: F.Column, classes: list[str], risk: F.Column | None = None) -> F.Column:
     """Array of class probabilities from (token, logprob) pairs of the first step.
 

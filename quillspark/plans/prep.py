@@ -404,6 +404,17 @@ def arm_rejects(spark: SparkSession, d: str) -> DataFrame:
     return screened_drafts(spark, d, False).groupBy("arm", F.coalesce("reason", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+_VOCABULARY = {"ending": "(?i)(not wake up|disappear|goodbye|funeral)", "hurt": "(?i)(hospital|ambulance|ward)", "taxonomy": "(?i)(worthless|trapped|lonely|hopeless|burden)"}
+_SQL_RATES = ", ".join(f"round(avg(regexp_matches(text, '{v}')::INT), 4) AS {k}" for k, v in _VOCABULARY.items())
+
+
+@query(f"WITH {DRAFTS}, {SQL_ASSIGNED} SELECT arm, risk, count(*) AS n, {_SQL_RATES} FROM drafts LEFT JOIN assigned USING (case_id) WHERE text IS NOT NULL GROUP BY arm, risk")
+def vocabulary_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of drafts with words of each vocabulary, per arm and class."""
+    j = drafts(spark, d).where("text is not null").join(assigned(spark, d).select("case_id", "risk"), "case_id", "left")
+    return j.groupBy("arm", "risk").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col("text").rlike(v).cast("double")), 4).alias(k) for k, v in _VOCABULARY.items()])
+
+
 @query()
 def draft_selection(spark: SparkSession, d: str) -> DataFrame:
     """Among the passing drafts of each case, within its target factor."""

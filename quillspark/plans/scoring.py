@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import CLASSES, FACTORS, RARE
 from quillspark.functions.text import risk_ord, stable_number
-from quillspark.operators import agreement, dedup, metrics, realism, thresholds
+from quillspark.operators import agreement, dedup, metrics, parse, realism, render, thresholds
 from quillspark.plans.base import SQL_ASSIGNED, SQL_GOLD, SQL_WS, assigned, drafts, gold, posts, scored, sql_key, sql_list, sql_number, sql_posts, sql_scored, sql_trim
 from quillspark.plans.catalog import query
 from quillspark.sources.tables import table
@@ -269,4 +269,35 @@ def realism_auc(spark: SparkSession, d: str) -> DataFrame:
     """Drafts against real posts of their class and length, grouped by case or author, weights fitted without the fold."""
     made = drafts(spark, d).where("text is not null").join(assigned(spark, d).select("case_id", "risk"), "case_id").select(F.col("draft_id").alias("row_id"), "text", F.col("case_id").alias("grp"), "risk")
     real = posts(spark, d, "post_raw", "anon_user_id").join(gold(spark, d).where("risk is not null").select("row_id", "risk"), "row_id").select("row_id", F.col("post_raw").alias("text"), F.col("anon_user_id").alias("grp"), "risk")
-    return realism.realism_auc(made, real).select("fold", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
\ No newline at end of file
+    return realism.realism_auc(made, real).select("fold", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
+
+
+_STEPS = f"""WITH {SQL_GOLD}, m AS (SELECT fold, step, round(avg(({sql_number('row_id', 'CAST(step AS VARCHAR)')} % 1000) / 1000.0::DOUBLE), 10) AS v FROM gold_u, (SELECT unnest([20, 40, 60, 80]) AS step) WHERE fold IS NOT NULL GROUP BY fold, step), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY v DESC, step) AS i FROM m)"""
+
+
+@query(f"{_STEPS} SELECT fold, CAST(step AS INTEGER) AS step, round(v, 8) AS value FROM r WHERE i = 1")
+def selected_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The step with the best figure of each fold, the first of equals."""
+    g = gold(spark, d).where("fold is not null").withColumn("step", F.explode(F.array(*map(F.lit, (20, 40, 60, 80)))))
+    m = g.withColumn("v", (stable_number(F.col("row_id"), F.col("step").cast("string")) % 1000) / 1000.0)
+    return thresholds.selected_steps(m, "fold", "step", "v").select("fold", "step", F.round("value", 8).alias("value"))
+
+
+def _generations(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered targets as generations: a token per character, with itself as the only alternative."""
+    g = gold(spark, d).where("risk is not null")
+    t = g.select("row_id", render.target_map(F.col("risk"), F.col("spans"), F.col("factors")).alias("text"))
+    return t.withColumn("tokens", F.split("text", "")).withColumn("logs", F.transform("tokens", lambda x: F.array(F.struct(x.alias("tok"), F.lit(0.0).alias("lp")))))
+
+
+@query(f"WITH {SQL_GOLD} SELECT row_id, f.factor, list_contains(factors, f.factor)::INT::DOUBLE AS p FROM gold_u, (SELECT unnest({sql_list(FACTORS)}) AS factor) f WHERE risk IS NOT NULL")
+def factor_probes(spark: SparkSession, d: str) -> DataFrame:
+    """Factor probabilities at the steps of their values."""
+    return parse.probed(_generations(spark, d), "text", "tokens", "logs").select("row_id", F.explode("p_true").alias("factor", "p"))
+
+
+@query(f"WITH {SQL_GOLD} SELECT row_id, risk[1:3] AS first_steps FROM gold_u WHERE risk IS NOT NULL")
+def risk_probes(spark: SparkSession, d: str) -> DataFrame:
+    """The most likely tokens of the first three steps of the class."""
+    r = parse.risk_probed(_generations(spark, d), "text", "tokens", "logs")
+    return r.select("row_id", F.array_join(F.transform("risk_logprobs", lambda s: F.element_at(s, 1)["tok"]), "").alias("first_steps"))
