@@ -284,10 +284,10 @@ def selected_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _generations(spark: SparkSession, d: str) -> DataFrame:
-    """Rendered targets as generations: a token per character, with itself as the only alternative."""
+    """Rendered targets as generations: tokens are words, capitals and what is between, each its own only alternative."""
     g = gold(spark, d).where("risk is not null")
     t = g.select("row_id", render.target_map(F.col("risk"), F.col("spans"), F.col("factors")).alias("text"))
-    return t.withColumn("tokens", F.split("text", "")).withColumn("logs", F.transform("tokens", lambda x: F.array(F.struct(x.alias("tok"), F.lit(0.0).alias("lp")))))
+    return t.withColumn("tokens", F.regexp_extract_all("text", F.lit("(true|false|[A-Z]|[a-z]+|[^A-Za-z]+)"), 1)).withColumn("logs", F.transform("tokens", lambda x: F.array(F.struct(x.alias("tok"), F.lit(0.0).alias("lp")))))
 
 
 @query(f"WITH {SQL_GOLD} SELECT row_id, f.factor, list_contains(factors, f.factor)::INT::DOUBLE AS p FROM gold_u, (SELECT unnest({sql_list(FACTORS)}) AS factor) f WHERE risk IS NOT NULL")
@@ -296,7 +296,7 @@ def factor_probes(spark: SparkSession, d: str) -> DataFrame:
     return parse.probed(_generations(spark, d), "text", "tokens", "logs").select("row_id", F.explode("p_true").alias("factor", "p"))
 
 
-@query(f"WITH {SQL_GOLD} SELECT row_id, risk[1:3] AS first_steps FROM gold_u WHERE risk IS NOT NULL")
+@query(f"WITH {SQL_GOLD} SELECT row_id, risk || '\"}}' AS first_steps FROM gold_u WHERE risk IS NOT NULL")
 def risk_probes(spark: SparkSession, d: str) -> DataFrame:
     """The most likely tokens of the first three steps of the class."""
     r = parse.risk_probed(_generations(spark, d), "text", "tokens", "logs")
