@@ -90,7 +90,8 @@ def dense_group_ids(spark: SparkSession, d: str) -> DataFrame:
 def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
     """Components of authors and near-duplicate clusters as groups."""
     p = posts(spark, d, "post_raw", "anon_user_id", "split").where("split = 'train' and row_id is not null")
-    c = dedup.author_components(dedup.clusters(p, "row_id", "post_raw"), "row_id", "anon_user_id", "cluster")
+    clustered = stage(dedup.clusters(p, "row_id", "post_raw").select("row_id", "anon_user_id", "cluster"), "clusters")
+    c = dedup.author_components(clustered, "row_id", "anon_user_id", "cluster")
     c = stage(c.join(gold(spark, d).select("row_id", "risk_ord"), "row_id", "left"), "components")
     return c.join(dedup.component_folds(c, "component", "risk_ord"), "component").select("row_id", "component", "fold")
 
