@@ -4,11 +4,10 @@ Aho-Corasick automata over the normalised passages (runs of five words) of the e
 matched intervals are merged into the covered share of every evaluation record, per training record.
 
 The automata are sharded: a shard holds up to ``BLOCK`` evaluation records.  Every training text scans the shards that hold
-an evaluation record which it may be near-same to by its band keys and sketch (:mod:`neardup`), and there meets all the
-records of the shard, so that the work follows the data and not the product of both sides.  Records of crowded keys (a
-common opening, many variants of one text) are sharded by their clusters, whose links come from rare runs and are exact.  A
-shard with many training texts is salted, and one with many evaluation records is cut into blocks, so no automaton or task
-grows with it.  The pairs themselves come from the automata; a check of the whole texts of both follows.
+an evaluation record with which it has enough word runs in common (:func:`neardup.near`, which loses no pair), and there meets
+all the records of the shard.  A shard with many training texts is salted, and one with many evaluation records is cut into
+blocks, so no automaton or task grows with it.  The pairs themselves come from the automata; a check of the whole texts of
+both follows.
 
 Defined results: null or wordless texts are the same as nothing; a record delivered twice is one; rows of other splits
 are left out; empty tables give no pairs.
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import neardup
 from quillspark.llm.ids import slug
-from quillspark.llm.unionfind import components
 from quillspark.llm.words import overlap, words
 from quillspark.sources.staging import stage
 
@@ -96,23 +94,17 @@ def shards(members: DataFrame) -> DataFrame:
 def overlaps(posts: DataFrame, evaluation: str = "leaderboard", training: str = "train") -> tuple[DataFrame, DataFrame]:
     """(pairs of classes: eval_node, train_node, coverage; membership: row_id, split, node), both staged."""
     base = posts.where(F.col("row_id").isNotNull() & F.col("split").isin(evaluation, training)).select("row_id", "split", F.col("post_raw").alias("text"))
-    rows = stage(neardup.signed(base), "signed")
-    near, crowd = neardup.candidates(rows)
-    near, crowd = stage(neardup.alike(near, rows), "pairs"), stage(crowd, "crowd")
-    role = F.when(F.col("split") == evaluation, 0).otherwise(1)
-    one = stage(rows.select("node", role.alias("role")).distinct(), "sides")
-    e, t = one.where("role = 0").select(F.col("node").alias("e")), one.where("role = 1").select(F.col("node").alias("t"))
-    same = e.join(t, F.col("e") == F.col("t"))
-    met = near.select(F.col("a").alias("e"), F.col("b").alias("t")).union(near.select("b", "a")).join(e, "e", "left_semi").join(t, "t", "left_semi").select("e", "t").union(same)
-    many = max(1, -(-e.count() // BLOCK))
-    met = met.withColumn("cluster", F.pmod(F.xxhash64("e"), F.lit(many)))
-    met = stage(met, "met")
+    rows = stage(neardup.packed(base), "packed")
+    side = lambda x: F.max(F.col("split") == x)
+    one = stage(rows.groupBy("node").agg(F.first("runs").alias("runs"), side(evaluation).alias("e"), side(training).alias("t")), "classes")
+    near = neardup.near(one.where("e"), one.where("t"), neardup.often(one), False)
+    same = one.where("e and t").select(F.col("node").alias("e"), F.col("node").alias("t"))
+    met = near.select(F.col("a").alias("e"), F.col("b").alias("t")).union(same)
+    many = max(1, -(-one.where("e").count() // BLOCK))
+    met = stage(met.withColumn("cluster", F.pmod(F.xxhash64("e"), F.lit(many))), "met")
     members = met.select("cluster", F.col("e").alias("node"), F.lit(0).alias("role")).union(met.select("cluster", "t", F.lit(1))).distinct()
     # The texts of one class are the same to the automata, whichever side they come from.
-    texts = neardup.class_texts(members.select("node").union(crowd).distinct(), rows, base, "row_id")
-    if not crowd.isEmpty():
-        roots = components(neardup.crowded_links(crowd, rows, texts))
-        members = members.union(one.join(roots, "node").select(F.xxhash64(F.lit("crowd"), "root").alias("cluster"), "node", "role"))
+    texts = neardup.class_texts(members.select("node").distinct(), rows, base, "row_id")
     held = members.join(texts, "node").select("cluster", "node", "role", "text")
     parts = shards(stage(held, "held"))
     n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -226,6 +226,28 @@ def test_cross_split_pairs(spark):
     assert crosssplit.pairs(p.where("false")).count() == 0
 
 
+def test_cross_split_pairs_at_the_threshold(spark):
+    """Pairs that share little more than the least share, and repetitions of one phrase: none is left out, for none holds few
+    runs in common with others.  A few classes at a time are held."""
+    swapped = lambda t, i: " ".join(f"swap{i}x{j}" if j % 11 == 5 else w for j, w in enumerate(t.split()))
+    data = []
+    for i in range(40):
+        t = text(66, 700 + i)
+        data += [(f"t{i:02d}", "train", t, None), (f"l{i:02d}", "leaderboard", swapped(t, i), None)]
+    for i, s in enumerate(("train", "leaderboard")):
+        data.append((f"h{i}", s, " ".join(["ha"] * 60) + " " + text(50, 900 + i), None))
+    data += [("s0", "train", "just three words", None), ("s1", "leaderboard", "Just three words!", None), ("s2", "train", "three words", None)]
+    p = spark.createDataFrame(data, "row_id string, split string, post_raw string, origin string").repartition(3)
+    want = {tuple(sorted((a, b))) for a, s, t, _ in data for b, q, u, _ in data if s == "train" and q == "leaderboard" and overlap(t, u) >= neardup.SHARE}
+    assert len(want) == 42 and {tuple(r) for r in crosssplit.pairs(p).collect()} == want
+    held = neardup.HELD
+    neardup.HELD = 15
+    try:
+        assert {tuple(r) for r in crosssplit.pairs(p).collect()} == want
+    finally:
+        neardup.HELD = held
+
+
 def test_coverage():
     assert crosssplit.covered({0, 2, 10}, 5, 20) == pytest.approx(12 / 20) and crosssplit.covered(set(), 5, 0) == 0
 
