@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.config import CLASSES, CLIP_MARK, NEIGHBOUR_CLIP, TOKEN_BUDGET
 from quillspark.functions.text import clip, stable_rank
 from quillspark.operators import ordering, render, timeline
+from quillspark.sources.staging import stage
 
 FOCAL = "[focal]\n"
 SPANS = "array<struct<start:int,end:int>>"
@@ -39,10 +41,12 @@ def inputs(df: DataFrame, user: str, order: str, key: str, text: str, cover: str
 
     ``cover``: (start, end) spans of the text that it is cut around where it is beyond the budget.
     """
-    d = ordering.positioned(df, user, [order, key], "position", "n_posts").withColumn("_t", clip(F.col(text), NEIGHBOUR_CLIP, CLIP_MARK))
-    near = ordering.neighbours(d, user, "_g", "_t", [-2, -1, 1])
-    cut = timeline.truncated(d, text, budget, cover)
-    return cut.join(near, "_g").withColumn("input", model_input(F.col("position"), F.col("n_posts"), F.col("near"), F.coalesce("short_text", F.lit("")))).drop("_g", "_t", "near", "short_text", "n_ranges")
+    # Keys alone are put in order; texts meet their places afterwards.
+    d = ordering.positioned(df.select(user, order, key), user, [order, key], "position", "n_posts")
+    clipped = d.select(user, "_g", key).join(df.select(key, clip(F.col(text), NEIGHBOUR_CLIP, CLIP_MARK).alias("_t")), key)
+    near = stage(ordering.neighbours(clipped, user, "_g", "_t", [-2, -1, 1]).join(d.select("_g", key, "position", "n_posts"), "_g").drop("_g"), "near")
+    cut = timeline.truncated(df, text, budget, cover)
+    return cut.join(near, key).withColumn("input", model_input(F.col("position"), F.col("n_posts"), F.col("near"), F.coalesce("short_text", F.lit("")))).drop("near", "short_text", "n_ranges")
 
 
 def training_rows(df: DataFrame, risk: str, spans: str, factors: str, classes: list[str] = CLASSES) -> DataFrame:
@@ -66,7 +70,8 @@ def usable(df: DataFrame, risk: str, ranges: str, classes: list[str] = CLASSES)
 def dosed(df: DataFrame, group: list[str], order: str, dose: int) -> DataFrame:
     """The first ``dose`` rows of each group in order; the limit is the feature."""
     g = F.concat_ws("/", *[F.col(c).cast("string") for c in group])
-    return ordering.positioned(df.withColumn("_grp", g), "_grp", [order], "_place", "_size").where(F.col("_place") <= dose).drop("_grp", "_place", "_size", "_g")
+    # No partition hands on more than the dose of a group.
+    return df.withColumn("_grp", g).withColumn("_place", F.row_number().over(Window.partitionBy("_grp").orderBy(order))).where(F.col("_place") <= dose).drop("_grp", "_place")
 
 
 def inserted(written: DataFrame, timelines: DataFrame, before: int = 2, after: int = 1) -> DataFrame:
@@ -89,9 +94,9 @@ def mixed(real: DataFrame, written: DataFrame, group: list[str], seed: str) -> D
     """Real and written rows of each file in one seeded order: the columns of both and position (from 0) within the group."""
     d = real.unionByName(written, allowMissingColumns=True)
     g = F.concat_ws("/", *[F.col(c).cast("string") for c in group])
-    d = d.withColumn("_grp", g).withColumn("_rank", stable_rank(F.lit(seed), g, F.col("row_id")))
-    p = ordering.positioned(d, "_grp", ["_rank", "row_id"], "_place", "_size")
-    return p.withColumn("position", F.col("_place") - 1).drop("_grp", "_rank", "_place", "_size", "_g")
+    # The digest in bytes sorts as it does in letters.
+    p = ordering.positioned(d.withColumn("_grp", g), "_grp", [F.unhex(stable_rank(F.lit(seed), g, F.col("row_id"))), "row_id"], "_place", "_size")
+    return p.withColumn("position", F.col("_place") - 1).drop("_grp", "_place", "_size", "_g")
 
 
 def run_grid(files: DataFrame, arm: str, fold: str, weight: str, seeds: list[int]) -> DataFrame:

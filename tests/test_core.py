@@ -388,6 +388,36 @@ def test_bagged_cutoffs_are_seeded_by_place(spark):
     assert abs(run(300, ["x", "y", "z"])[0, "x"] - np.mean(boot)) < 0.08
 
 
+def test_factor_probes_hold_few_rows():
+    """A batch of any size is worked on in small parts, whose rows are handed on before the next are made."""
+    import pyarrow as pa
+
+    step = [[{"tok": "true", "lp": 0.0}]]
+    rows = [{"k": i, "t": '"a":true' if i else None, "n": ['"a":', "true"], "g": [[]] + step} for i in range(1000)]
+    parts = list(parse.with_probabilities(iter([pa.RecordBatch.from_pylist(rows)]), "t", "n", "g", ["a", "b"]))
+    assert max(p.num_rows for p in parts) <= parse.FEW
+    got = [r for p in parts for r in p.to_pylist()]
+    assert [r["k"] for r in got] == list(range(1000)) and got[0]["p_true"] is None and all(dict(r["p_true"]) == {"a": 1.0, "b": 0.0} for r in got[1:])
+
+
+def test_places_are_staged_once_without_texts(spark, monkeypatch):
+    """What was ranged is gone once it is numbered, shuffle files go with their query, and inputs are made from ordered keys."""
+    from quillspark.sources import staging
+
+    written = []
+    real = staging.stage
+    for module in (ordering, assembly):
+        monkeypatch.setattr(module, "stage", lambda df, label: written.append((label, df.columns)) or real(df, label))
+    own = staging._own(spark).removeprefix("file://")
+    d = spark.createDataFrame([(f"k{i}", "u", i, "some text", [(0, 4)]) for i in range(9)], "k string, u string, o long, t string, cover array<struct<start:int,end:int>>")
+    before = set(os.listdir(own)) if os.path.isdir(own) else set()
+    got = assembly.inputs(d, "u", "o", "k", "t", "cover").collect()
+    assert sorted(r["position"] for r in got) == list(range(1, 10)) and all("[focal]" in r["input"] for r in got)
+    assert {x.split("-")[0] for x in set(os.listdir(own)) - before} == {"numbered", "near"}
+    assert all("t" not in columns for _, columns in written)
+    assert spark.conf.get(staging.CLEAN) == "false"
+
+
 def test_files(spark, tmp_path):
     assert files.canonical({"a": -0.0, "b": [np.float64(1 / 3), np.int64(2)]}) == {"a": 0.0, "b": [0.33333333, 2]}
     files.write_jsonl(spark.createDataFrame([("b", 1), ("a", 2)], "k string, fold int"), str(tmp_path / "x"), "k")
