@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillspark.config import CLASSES, FACTORS
@@ -114,6 +117,22 @@ def risk_steps(text: str, tokens: list[str], logs: list[list[tuple[str, float]]]
 
 
 LOGS = "array<array<struct<tok:string,lp:double>>>"
+#: Rows whose steps are Python objects at once.
+FEW = 64
+
+
+def with_probabilities(batches: Iterator[pa.RecordBatch], text: str, tokens: str, logs: str, taxonomy: list[str] = FACTORS) -> Iterator[pa.RecordBatch]:
+    """The batches with p_true, ``FEW`` rows at a time: a step is a Python object for each alternative."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, FEW):
+            b, out = whole.slice(i, FEW), []
+            for a, k, c in zip(*(b.column(x).to_pylist() for x in (text, tokens, logs)), strict=True):
+                if a is None or k is None:
+                    out.append(None)
+                else:
+                    alternatives = [[(x["tok"], x["lp"]) for x in step] for step in (c if c is not None else [])]
+                    out.append(list(factor_probabilities(a, k, alternatives + [[]] * (len(k) - len(alternatives)), taxonomy).items()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.map_(pa.string(), pa.float64()))], [*b.schema.names, "p_true"])
 
 
 def probed(df: DataFrame, text: str, tokens: str, logs: str, taxonomy: list[str] = FACTORS) -> DataFrame:
@@ -121,18 +140,8 @@ def probed(df: DataFrame, text: str, tokens: str, logs: str, taxonomy: list[str]
 
     ``tokens``: array of the decoded tokens of the text, ``logs``: at each of them the alternatives (tok, lp).
     """
-    @F.pandas_udf("map<string,double>")
-    def run(t: pd.Series, k: pd.Series, g: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c in zip(t, k, g, strict=True):
-            if a is None or b is None:
-                out.append(None)
-            else:
-                alternatives = [[(x["tok"], x["lp"]) for x in step] for step in (c if c is not None else [])]
-                out.append(factor_probabilities(a, list(b), alternatives + [[]] * (len(b) - len(alternatives)), taxonomy))
-        return pd.Series(out)
-
-    return df.withColumn("p_true", run(text, tokens, logs))
+    schema = StructType([*df.schema.fields, StructField("p_true", MapType(StringType(), DoubleType()))])
+    return df.mapInArrow(lambda batches: with_probabilities(batches, text, tokens, logs, taxonomy), schema)
 
 
 def risk_probed(df: DataFrame, text: str, tokens: str, logs: str, steps: int = 3) -> DataFrame:
