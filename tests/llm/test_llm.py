@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from quillspark.llm import charforms, consensus, crosssplit, leakage, mixing, neardup, pairs, representative, spans, splits, subjects, unionfind
 from quillspark.llm.language import language
 from quillspark.llm.words import overlap, words
+from quillspark.sources import staging
 
 RNG = random.Random(4)
 VOCABULARY = ["".join(RNG.choices(string.ascii_lowercase, k=RNG.randint(2, 8))) for _ in range(400)]
@@ -119,6 +120,28 @@ def test_many_variants_of_one_text_stay_together(spark):
     assert got == want and len(set(want.values())) == 2
 
 
+def test_key_mates_that_are_no_pair_are_not_written(spark, monkeypatch):
+    """100 texts under one opening meet in crowded keys, but most of their pairs are never written, and no word runs; all pairs
+    that are near-same are found."""
+    opening = text(40, 9)
+    data = [(f"r{i:02d}", f"{opening} {text(60, 400 + i)}") for i in range(90)]
+    data += [(f"s{i:02d}", edited(data[i][1], i, 3)) for i in range(10)]
+    df = spark.createDataFrame(data, "row_id string, text string").repartition(3)
+    rows = neardup.signed(df).cache()
+    node = {r["row_id"]: r["node"] for r in rows.collect()}
+    written = []
+
+    def staged(df, label="stage"):
+        out = staging.stage(df, label)
+        written.append((out.count(), label))
+        return out
+
+    monkeypatch.setattr(neardup, "stage", staged)
+    want = {tuple(sorted((node[a], node[b]))) for a, b in _near(data)}
+    assert len(want) == 10 and {(r["a"], r["b"]) for r in neardup.links(rows, df, "row_id").collect()} == want
+    assert max(written)[0] <= 15 * len(data), written
+
+
 @pytest.mark.parametrize("bound", [0, 10, 10**6])
 def test_union_find(spark, bound):
     rng = np.random.default_rng(1)
