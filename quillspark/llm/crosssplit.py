@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import neardup
 from quillspark.llm.ids import slug
 from quillspark.llm.words import overlap, words
-from quillspark.sources.staging import stage
+from quillspark.sources.staging import release, stage
 
 #: Evaluation classes and training classes of one shard of a cluster.
 BLOCK, SALT = 400, 4000
@@ -96,20 +96,25 @@ def overlaps(posts: DataFrame, evaluation: str = "leaderboard", training: str =
     base = posts.where(F.col("row_id").isNotNull() & F.col("split").isin(evaluation, training)).select("row_id", "split", F.col("post_raw").alias("text"))
     rows = stage(neardup.packed(base), "packed")
     side = lambda x: F.max(F.col("split") == x)
-    one = stage(rows.groupBy("node").agg(F.first("runs").alias("runs"), side(evaluation).alias("e"), side(training).alias("t")), "classes")
-    near = neardup.near(one.where("e"), one.where("t"), neardup.often(one), False)
-    same = one.where("e and t").select(F.col("node").alias("e"), F.col("node").alias("t"))
-    met = near.select(F.col("a").alias("e"), F.col("b").alias("t")).union(same)
-    many = max(1, -(-one.where("e").count() // BLOCK))
+    member = stage(rows.select("row_id", "split", "node").distinct(), "member")
+    # Runs of training classes are never moved: they are read where they stand, for every block of evaluation classes.
+    runs = rows.where("runs is not null")
+    held = stage(runs.where(F.col("split") == evaluation).groupBy("node").agg(F.first("runs").alias("runs")), "evaluation")
+    near = neardup.near(held, runs.where(F.col("split") == training), neardup.often(runs), False)
+    same = member.groupBy("node").agg(side(evaluation).alias("e"), side(training).alias("t")).where("e and t").select(F.col("node").alias("e"), F.col("node").alias("t"))
+    met = near.select(F.col("a").alias("e"), F.col("b").alias("t")).union(same).distinct()
+    many = max(1, -(-held.count() // BLOCK))
     met = stage(met.withColumn("cluster", F.pmod(F.xxhash64("e"), F.lit(many))), "met")
+    release(rows)
+    release(held)
     members = met.select("cluster", F.col("e").alias("node"), F.lit(0).alias("role")).union(met.select("cluster", "t", F.lit(1))).distinct()
     # The texts of one class are the same to the automata, whichever side they come from.
-    texts = neardup.class_texts(members.select("node").distinct(), rows, base, "row_id")
+    texts = neardup.class_texts(members.select("node").distinct(), member, base, "row_id")
     held = members.join(texts, "node").select("cluster", "node", "role", "text")
     parts = shards(stage(held, "held"))
     n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = parts.repartition(n, "shard").sortWithinPartitions("shard", "role").mapInArrow(_scan, "eval_node long, train_node long, coverage double")
-    return stage(found.distinct(), "overlaps"), rows.select("row_id", "split", "node").distinct()
+    return stage(found.distinct(), "overlaps"), member
 
 
 def pairs(posts: DataFrame) -> DataFrame:

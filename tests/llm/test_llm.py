@@ -271,6 +271,24 @@ def test_cross_split_pairs_at_the_threshold(spark):
         neardup.HELD = held
 
 
+def test_runs_of_copies_and_training_classes_stand_once(spark, monkeypatch):
+    """Of five copies of each text one has its word runs written, and those of training classes are written only once."""
+    data = [(f"t{i:02d}{c}", "train", text(50, 40 + i), None) for i in range(20) for c in range(5)] + [(f"l{i:02d}", "leaderboard", edited(text(50, 40 + i), i, 1), None) for i in range(10)]
+    data += [("l99", "leaderboard", text(50, 59), None)]
+    p = spark.createDataFrame(data, "row_id string, split string, post_raw string, origin string").coalesce(1)
+    written = []
+
+    def staged(df, label="stage"):
+        out = staging.stage(df, label)
+        written.append(out.where("runs is not null").count() if "runs" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(crosssplit, "stage", staged)
+    want = {tuple(sorted((a, b))) for a, s, t, _ in data for b, q, u, _ in data if s == "train" and q == "leaderboard" and overlap(t, u) >= neardup.SHARE}
+    assert len(want) == 55 and {tuple(r) for r in crosssplit.pairs(p).collect()} == want
+    assert sum(written) == 20 + 2 * 11
+
+
 def test_coverage():
     assert crosssplit.covered({0, 2, 10}, 5, 20) == pytest.approx(12 / 20) and crosssplit.covered(set(), 5, 0) == 0
 
