@@ -142,6 +142,28 @@ def test_key_mates_that_are_no_pair_are_not_written(spark, monkeypatch):
     assert max(written)[0] <= 15 * len(data), written
 
 
+def test_keys_dealt_over_tasks_hold_components_together(spark, monkeypatch):
+    """Texts under one opening, and 90 variants of one text that drift apart, in keys that no one task compares: components of
+    authors and texts as by all pairs, with fewer links than pairs."""
+    monkeypatch.setattr(neardup, "LARGE", 40)
+    opening = text(40, 9)
+    data = [(f"r{i:02d}", f"{opening} {text(45, 500 + i)}") for i in range(30)]
+    data += [(f"s{i:02d}", edited(data[i][1], i, 3)) for i in range(8)]
+    t = text(90, 5)
+    data += [(f"v{i:02d}", " ".join(f"w{i}" if i < 80 and j == i else f"q{i}" if i >= 80 and j % 20 == i % 10 else w for j, w in enumerate(t.split()))) for i in range(90)]
+    df = spark.createDataFrame([(a, f"author {a}", b) for a, b in data], "row_id string, author string, text string").repartition(3)
+    near = _near(data)
+    rows = neardup.signed(df.select("row_id", "text")).cache()
+    node = {r["row_id"]: r["node"] for r in rows.collect()}
+    found = {(r["a"], r["b"]) for r in neardup.links(rows, df.select("row_id", "text"), "row_id").collect()}
+    assert found <= {tuple(sorted((node[a], node[b]))) for a, b in near} and len(found) < len(near)
+    number = {r: i for i, (r, _) in enumerate(data)}
+    want = unionfind.forest(iter((number[a], number[b]) for a, b in near))
+    got = {r["row_id"]: r["component"] for r in splits.related(df).collect()}
+    whole = lambda of: {frozenset(r for r in number if of(r) == x) for x in map(of, number)}
+    assert whole(got.get) == whole(lambda r: want.get(number[r], number[r])) and len(set(want.values())) == 9
+
+
 @pytest.mark.parametrize("bound", [0, 10, 10**6])
 def test_union_find(spark, bound):
     rng = np.random.default_rng(1)
