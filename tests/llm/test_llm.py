@@ -4,13 +4,14 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import charforms, consensus, crosssplit, leakage, mixing, neardup, pairs, representative, spans, splits, subjects, unionfind
 from quillspark.llm.language import language
-from quillspark.llm.words import overlap, words
+from quillspark.llm.words import Codes, coded, mixed, overlap, shingles, words
 from quillspark.sources import staging
 
 RNG = random.Random(4)
@@ -142,6 +143,48 @@ def test_key_mates_that_are_no_pair_are_not_written(spark, monkeypatch):
     assert max(written)[0] <= 15 * len(data), written
 
 
+def test_texts_are_fetched_only_where_runs_allow_a_pair(spark, monkeypatch):
+    """60 texts that share two fifths look alike to the sketch: their texts are not fetched, and those of all links are."""
+    opening = text(45, 9)
+    data = [(f"r{i:02d}", f"{opening} {text(60, 700 + i)}") for i in range(60)]
+    data += [(f"s{i:02d}", edited(data[i][1], i, 3)) for i in range(5)]
+    df = spark.createDataFrame(data, "row_id string, text string").repartition(3)
+    rows = neardup.signed(df).cache()
+    node = {r["row_id"]: r["node"] for r in rows.collect()}
+    counts = {}
+
+    def staged(df, label="stage"):
+        out = staging.stage(df, label)
+        counts[label] = max(counts.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stage", staged)
+    want = {tuple(sorted((node[a], node[b]))) for a, b in _near(data)}
+    assert len(want) == 5 and {(r["a"], r["b"]) for r in neardup.links(rows, df, "row_id").collect()} == want
+    assert counts["pairs"] > 100 and counts["held"] <= 20, counts
+
+
+def test_signatures_and_checks_equal_plain_ones():
+    """Minima of texts of any lengths, and whole texts of pairs compared many at a time, word runs that come again included."""
+    texts = [text(n, n) for n in (1, 3, 5, 6, 40, 41, 700)] + ["no " * 30, "no " * 55, "no " * 70, "no no yes " * 20, f"{'no ' * 30}{text(30, 1)}", "", None]
+    texts += [edited(text(60, i), i, k) for i in range(6) for k in range(0, 9, 2)]
+    flat, sizes = coded([t for t in texts if words(t)], Codes())
+    runs, count = shingles(flat, sizes, neardup.WORDS)
+    least = np.array([[(r * s >> np.uint64(20)).min() for s in neardup._SEEDS] for r in np.split(runs, np.cumsum(count)[:-1])])
+    sketch = (mixed(least) & np.uint64(15)).astype(np.uint8)
+    keys, got = neardup.signatures(runs, count)
+    assert (got >> 4 == sketch[:, ::2]).all() and (got & 15 == sketch[:, 1::2]).all() and len(np.unique(keys)) > 100
+    x, y = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array([texts[i] for i in x]), pa.array([texts[i] for i in y])], ["a", "b", "ta", "tb"])
+    found = {(a, b) for out in neardup._verified(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)}
+    assert found == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if overlap(a, b) >= neardup.SHARE}
+    short = (runs >> np.uint64(48)).astype(np.uint16)
+    full = [t for t in texts if words(t)]
+    x, y = np.divmod(np.arange(len(full) ** 2), len(full))
+    let = neardup._near(short, count, x, y)
+    assert all(let[k] for k in range(len(x)) if overlap(full[x[k]], full[y[k]]) >= neardup.SHARE) and not let.all()
+
+
 def test_keys_dealt_over_tasks_hold_components_together(spark, monkeypatch):
     """Texts under one opening, and 90 variants of one text that drift apart, in keys that no one task compares: components of
     authors and texts as by all pairs, with fewer links than pairs."""
