@@ -36,8 +36,9 @@ def possible(date: Column, delivered: Column) -> Column:
 def groups(posts: DataFrame) -> DataFrame:
     """(row_id, group_id) of train posts in groups of two or more same or near-same ones."""
     base = posts.where("split = 'train' and row_id is not null").select("row_id", F.col("post_raw").alias("text"))
-    rows = stage(neardup.signed(base), "signed")
-    near = neardup.links(rows, base, "row_id")
+    signed = stage(neardup.signed(base), "signed")
+    rows = stage(signed.select("row_id", "node"), "rows")
+    near = neardup.links(signed, base, "row_id", rows)
     roots = components(near)
     member = rows.select("row_id", "node").distinct().join(roots, "node", "left").select("row_id", F.coalesce("root", "node").alias("group_id"))
     large = member.groupBy("group_id").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).where("lo < hi").select("group_id")

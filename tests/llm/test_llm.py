@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pathlib
 import random
 import string
 
@@ -164,6 +165,15 @@ def test_texts_are_fetched_only_where_runs_allow_a_pair(spark, monkeypatch):
     assert counts["pairs"] > 100 and counts["held"] <= 20, counts
 
 
+def test_signatures_are_deleted_once_candidates_are_known(spark):
+    data = [(f"r{i}", f"author {i}", text(50, i // 2)) for i in range(6)] + [("s", "author s", edited(text(50, 0), 1, 1))]
+    df = spark.createDataFrame(data, "row_id string, author string, text string")
+    held = lambda: {p.name for p in pathlib.Path(staging._own(spark).removeprefix("file://")).glob("*-*")}
+    before = held()
+    assert len({r["component"] for r in splits.related(df).collect()}) == 3
+    assert (new := held() - before) and not [x for x in new if x.startswith("signed")]
+
+
 def test_signatures_and_checks_equal_plain_ones():
     """Minima of texts of any lengths, and whole texts of pairs compared many at a time, word runs that come again included."""
     texts = [text(n, n) for n in (1, 3, 5, 6, 40, 41, 700)] + ["no " * 30, "no " * 55, "no " * 70, "no no yes " * 20, f"{'no ' * 30}{text(30, 1)}", "", None]
